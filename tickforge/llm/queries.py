@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, licenses, mixing, urls
+from . import bpe, chat, licenses, mixing, substrings, toxicity, urls
 from .store import table
 
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -18,6 +18,16 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), RULES)
 
@@ -39,6 +49,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
+    "op2_substrings": op2_substrings,
+    "op3_toxicity": op3_toxicity,
     "op4_urls": op4_urls,
     "op7_mixing": op7_mixing,
     "op8_chat": op8_chat,
@@ -62,6 +74,17 @@ scored AS (SELECT doc_id, uid, name, 2.0::DOUBLE * len(list_intersect(s.b, tb.b)
 hits AS (SELECT * FROM scored WHERE dice >= 0.9),
 best AS (SELECT doc_id, arg_min(name, (-dice, name)) AS license, max(dice) AS dice, count(DISTINCT uid) AS n_units FROM hits GROUP BY doc_id)
 SELECT d.doc_id, license, coalesce(dice, 0.0::DOUBLE) AS dice, coalesce(n_units, 0) AS n_units FROM documents d LEFT JOIN best USING (doc_id)""",
+    "op2_substrings": r"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT r, doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM w WHERE len(w) >= 13),
+g AS (SELECT r, doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM x),
+o AS (SELECT r, i FROM (SELECT r, doc_id, i, min(doc_id) OVER (PARTITION BY g) AS owner FROM g) WHERE owner < doc_id),
+c AS (SELECT DISTINCT r, i + k AS i FROM o, range(0, 13) t(k)),
+l AS (SELECT r, list(i) AS gone FROM c GROUP BY r),
+u AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w),
+k AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS kept FROM u ANTI JOIN c USING (r, i) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN l USING (r) LEFT JOIN k USING (r)""",
     "op4_urls": r"""
 WITH r(h, p, verdict) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
 cut AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),

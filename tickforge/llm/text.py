@@ -67,11 +67,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
             i = j
 
 
-def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, first): byte ranges of all words, and the first word of each text (one entry more than texts)."""
+#: White space and ASCII punctuation.
+APART = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
+
+
+def words(data: np.ndarray, at: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, first): byte ranges of all runs without bytes of `apart`, and the first run of each text (one entry more than texts)."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(at), np.int64)
-    space = _SPACE[data]
+    space = apart[data]
     edge = np.empty(len(data) + 1, bool)
     edge[1:] = space
     edge[at] = True
