@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, licenses, mixing, substrings, toxicity, urls
+from . import bpe, capfilters, chat, licenses, mixing, neardup, substrings, topk, toxicity, urls
 from .store import table
 
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -32,6 +32,15 @@ def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), RULES)
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "copy", "n_copies", "place", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
@@ -43,6 +52,10 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(chat.from_rows(rows)))
 
 
+def op9_capfilters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capfilters.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.Tokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).digests(table(spark, sf_dir, "documents"))
 
@@ -52,8 +65,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substrings": op2_substrings,
     "op3_toxicity": op3_toxicity,
     "op4_urls": op4_urls,
+    "op5_topk": op5_topk,
+    "op6_neardup": op6_neardup,
     "op7_mixing": op7_mixing,
     "op8_chat": op8_chat,
+    "op9_capfilters": op9_capfilters,
     "op10_bpe": op10_bpe,
 }
 
@@ -93,6 +109,22 @@ ok AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijk
 fit AS (SELECT page_id, host, path, h || p AS rule, verdict FROM ok LEFT JOIN r ON (host = h OR suffix(host, '.' || h)) AND starts_with(path, p))
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fit
 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC NULLS LAST) = 1""",
+    "op5_topk": """
+WITH v AS (SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, list_sum([a.q[i] * b.q[i] FOR i IN range(1, len(a.q) + 1)])::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op6_neardup": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) END AS s FROM w),
+n AS (SELECT doc_id, len(s) AS n FROM s),
+x AS (SELECT doc_id, unnest(s) AS g FROM s),
+c AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT u, v FROM c JOIN n a ON u = a.doc_id JOIN n b ON v = b.doc_id WHERE 100 * c >= 80 * (a.n + b.n - c)),
+t(doc_id, reach) AS (SELECT doc_id, doc_id FROM n UNION SELECT t.doc_id, l.v FROM t JOIN l ON t.reach = l.u)
+SELECT doc_id, n::BIGINT AS n_shingles, min(reach) AS component_id, doc_id = min(reach) AS kept FROM t JOIN n USING (doc_id) GROUP BY doc_id, n""",
     "op7_mixing": f"""
 WITH n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 w AS (SELECT source, n, pow(n::DOUBLE, 0.5) AS w FROM n),
@@ -112,4 +144,14 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(16 + length(role) + length(text) + length(regexp_replace(role || text, '[^\\<>]', '', 'g')))::BIGINT AS formatted_chars
 FROM t GROUP BY conv_id""",
+    "op9_capfilters": """
+WITH RECURSIVE v AS (SELECT vec_id, label, [x::DOUBLE FOR x IN embedding] AS x FROM embeddings),
+u AS (SELECT vec_id, label, x, sqrt(list_sum([y * y FOR y IN x])) AS n FROM v
+  WHERE label IS NOT NULL AND x IS NOT NULL AND len(list_filter(x, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+l AS (SELECT a.vec_id AS u, b.vec_id AS v FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND a.n > 0 AND b.n > 0
+  WHERE list_dot_product(a.x, b.x) / (a.n * b.n) >= 0.98),
+t(vec_id, reach) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT t.vec_id, l.v FROM t JOIN l ON t.reach = l.u),
+k AS (SELECT u AS vec_id, count(*) AS n_links FROM l GROUP BY u),
+m AS (SELECT vec_id, min(reach) AS component_id FROM t GROUP BY vec_id)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM m LEFT JOIN k USING (vec_id)""",
 }
