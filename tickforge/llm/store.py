@@ -30,8 +30,10 @@ def size_in_bytes(df: DataFrame) -> int:
 
 
 def scaled(df: DataFrame, bytes_each: int, least: int, most: int = 1 << 20) -> int:
-    """How many parts of about `bytes_each` the rows of `df` make, within bounds."""
-    return max(least, min(most, -(-size_in_bytes(df) // bytes_each)))
+    """How many parts of about `bytes_each` the rows of `df` make, within bounds; 4 * least if Catalyst doesn't know its size
+    (frames made from local rows or RDDs; a table written and read back has one)."""
+    size = size_in_bytes(df)
+    return 4 * least if size >= 1 << 60 else max(least, min(most, -(-size // bytes_each)))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
