@@ -3,14 +3,15 @@
 A document's set holds its distinct 2-word shingles. Each shingle's hash goes to one of BINS bins, a bin keeps its least hash,
 and empty bins are filled by optimal densification (each empty bin tries bins by a hash of its own number and the attempt
 until one is full). Bands of ROWS bins are hashed to buckets; two sets with Jaccard similarity 0.8 share none of the BANDS
-buckets with probability (1 - 0.8^4)^32 = 5e-8.
+buckets with probability (1 - 0.8^6)^40 = 5e-6.
 
 Equal sets (128 bits of sums over the set, and its size) are one class, so copies make no pairs. A bucket gives a star: edges
-from one class to the others, whose texts are then compared in full. One star cannot see links among its points, so stars
-with other centres follow for buckets that still hold several components, over points of other components only; at last,
-what is left of such buckets is compared completely: the points outside a bucket's largest component with the points of
-other components. Pairs are pruned only by size (smaller < 0.8 * larger can't link), and no pair is compared twice. Edges
-grow with buckets' sizes, not their squares, but for points that a bucket holds by chance and no star could settle.
+from one class to the others, whose texts are then compared in full; a bucket of at most SMALL classes gives all its pairs.
+One star cannot see links among its points, so a star with another centre follows for buckets that still hold several
+components, to points of other components only. Buckets that hold several components even then (by a common passage, say)
+are settled exactly and without pairs as rows: the bucket's sets go to one task, or, of more than TILE sets or TILE_SHINGLES
+shingles, to tiles of two chunks each; a product of the sets' incidence matrices counts what each two have in common, and
+the task reports a spanning forest of the links. Pairs are pruned only by size (smaller < 0.8 * larger can't link).
 
 Results: one row per row: doc_id, row_key, n_shingles, component_id (smallest doc_id reachable), kept. Null and empty texts,
 and texts of white space, have an empty set and are linked with nothing. One word is a set of one sequence. Rows with a null
@@ -21,6 +22,7 @@ rows get the same result. Only doc_id and text are read. Very long texts are who
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +33,11 @@ from .components import components
 from .store import materialize
 from .text import LOWER, mix, ngram_hashes, slices, strings, word_hashes, words
 
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 40, 6
 BINS = BANDS * ROWS
-STARS = 5
+#: Classes of a bucket whose pairs are all compared; rounds of stars for larger ones.
+SMALL, STARS = 5, 2
+TILE, TILE_SHINGLES = 1024, 400_000
 _UPPER = bytes(LOWER.tobytes())
 SIGNED = "doc_id long, row_key long, n_shingles long, c1 long, c2 long, bands array<long>"
 
@@ -55,25 +59,14 @@ def densified(least: np.ndarray) -> np.ndarray:
 
 def sign(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(set size, two sums over the set, band hashes) of each text."""
-    data, at = strings(texts)
-    data = LOWER[data]
-    starts, ends, first = words(data, at)
-    h = word_hashes(data, starts, ends)
-    g = ngram_hashes(h, 2)
-    n = np.diff(first)
-    if len(h):
-        one = first[:-1][n == 1]
-        g[one] = mix(h[one] ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-    size, c1, c2 = np.zeros(len(n), np.int64), np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
-    least = np.full((len(n), BINS), 0xFFFFFFFFFFFFFFFF, np.uint64)
-    for i in np.flatnonzero(n):
-        s = np.sort(g[first[i] : max(first[i + 1] - 1, first[i] + 1)])
-        s = s[np.concatenate([[True], s[1:] != s[:-1]])]
+    size, c1, c2 = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.uint64)
+    least = np.full((len(texts), BINS), 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for i, s in enumerate(hashed(texts)):
         size[i], c1[i], c2[i] = len(s), s.sum(), mix(s ^ np.uint64(0x3C6EF372FE94F82B)).sum()
-        np.minimum.at(least[i], (s >> np.uint64(57)).astype(np.int64), s & np.uint64((1 << 57) - 1))
+        np.minimum.at(least[i], ((s >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64), s & np.uint64(0xFFFFFFFF))
     full = densified(least)
     odd = mix(np.arange(1, ROWS + 1, dtype=np.uint64)) | np.uint64(1)
-    bands = mix((full.reshape(len(n), BANDS, ROWS) * odd).sum(axis=2, dtype=np.uint64) ^ mix(np.arange(BANDS, dtype=np.uint64) + np.uint64(77)))
+    bands = mix((full.reshape(len(texts), BANDS, ROWS) * odd).sum(axis=2, dtype=np.uint64) ^ mix(np.arange(BANDS, dtype=np.uint64) + np.uint64(77)))
     return size, c1, c2, bands
 
 
@@ -84,6 +77,22 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), lists], ["doc_id", "row_key", "n_shingles", "c1", "c2", "bands"])
 
 
+def hashed(texts: pa.Array) -> Iterator[np.ndarray]:
+    """The set of each text as sorted hashes of its shingles."""
+    data, at = strings(texts)
+    data = LOWER[data]
+    starts, ends, first = words(data, at)
+    h = word_hashes(data, starts, ends)
+    g = ngram_hashes(h, 2)
+    n = np.diff(first)
+    if len(h):
+        one = first[:-1][n == 1]
+        g[one] = mix(h[one] ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+    for i, k in enumerate(n):
+        s = np.sort(g[first[i] : max(first[i + 1] - 1, first[i] + 1)]) if k else g[:0]
+        yield s[np.concatenate([[True], s[1:] != s[:-1]])] if k else s
+
+
 def shingles(text: str | None) -> set:
     w = (text or "").encode().translate(_UPPER).split()
     return set(zip(w, w[1:])) if len(w) != 1 else {tuple(w)}  # noqa: B905
@@ -116,6 +125,78 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return rows.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
+def _mixed(members: DataFrame, labels: DataFrame, star: int) -> tuple[DataFrame, DataFrame]:
+    """Members with their components, and the buckets of several components, each with a centre by a hash of its own for this star."""
+    now = members.join(labels, members["node"] == labels["node"], "left").select("bucket", members["node"], "n", F.coalesce("label", members["node"]).alias("label"))
+    by = now.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.min(F.struct(F.xxhash64("node", F.lit(star)).alias("by"), "node", "n", "label")).alias("centre"))
+    return now, by.filter("a != b").select("bucket", "centre")
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches, "text"):
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in hashed(b.column(1))], pa.binary())], ["node", "set"])
+
+
+def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of a shares with each of b."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    (ta, ra), (tb, rb) = ((np.concatenate(x), np.repeat(np.arange(len(x)), [len(y) for y in x])) for x in (a, b))
+    both = np.intersect1d(ta, tb)
+    for i in range(0, len(both), 4096):
+        part, m = both[i : i + 4096], []
+        for t, r, n in ((ta, ra, len(a)), (tb, rb, len(b))):
+            at = np.minimum(np.searchsorted(part, t), len(part) - 1)
+            hit = part[at] == t
+            x = np.zeros((n, len(part)), np.float32)
+            x[r[hit], at[hit]] = 1
+            m.append(x)
+        out += m[0] @ m[1].T
+    return out
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links that join different labels, of sorted rows (bucket, ta, tb, side, node, label, set)."""
+    rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))  # noqa: B905
+    for _, group in groupby(rows, key=lambda r: r[:3]):
+        sides: tuple[list, list] = ([], [])
+        for r in group:
+            sides[r[3]].append(r)
+        a, b = sides[0], sides[1] or sides[0]
+        if not a or len({r[5] for r in a} | {r[5] for r in b}) < 2:
+            continue
+        x, y = ([np.frombuffer(r[6], np.uint64) for r in s] for s in (a, b))
+        n, m = np.array([len(v) for v in x]), np.array([len(v) for v in y])
+        common = _common(x, y).astype(np.int64)
+        hit = (100 * common >= 80 * (n[:, None] + m[None] - common)) & (common > 0)
+        u, v = np.nonzero(hit & (np.array([r[5] for r in a])[:, None] != np.array([r[5] for r in b])[None]))
+        label: dict[int, int] = {}
+
+        def root(k: int, label: dict[int, int] = label) -> int:
+            while label.get(k, k) != k:
+                k = label[k]
+            return k
+
+        kept = []
+        for i, j in zip(u.tolist(), v.tolist()):  # noqa: B905
+            p, q = root(a[i][5]), root(b[j][5])
+            if p != q:
+                label[max(p, q)] = min(p, q)
+                kept.append((a[i][4], b[j][4]))
+        if kept:
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], pa.int64()), pa.array([k[1] for k in kept], pa.int64())], ["u", "v"])
+
+
+def _settle(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (u, v) between members (bucket, node, n, label) of each bucket, a spanning forest over labels."""
+    nodes = members.select("node").distinct().join(texts, F.col("node") == F.col("row_key")).select("node", "text").dropDuplicates(["node"])
+    sets = materialize(nodes.mapInArrow(_sets, "node long, set binary"), "sets")
+    sizes = members.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / TILE_SHINGLES)).cast("int").alias("chunks"))
+    tiled = members.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    tiled = tiled.select("bucket", F.least("own", "with").alias("ta"), F.greatest("own", "with").alias("tb"), (F.col("own") > F.col("with")).cast("int").alias("side"), "node", "label")
+    dealt = tiled.join(sets, "node").select("bucket", "ta", "tb", "side", "node", "label", "set").repartition("bucket", "ta", "tb").sortWithinPartitions("bucket", "ta", "tb")
+    return materialize(dealt.mapInArrow(_settled, "u long, v long"), "settled")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"), "text")
     signed = materialize(rows.mapInArrow(_signed, SIGNED), "signatures")
@@ -126,28 +207,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     of_bucket = Window.partitionBy("bucket")
     placed = classes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     placed = placed.withColumn("centre", F.min(F.struct("node", "n")).over(of_bucket)).withColumn("size", F.count("*").over(of_bucket)).filter("size > 1")
-    members = materialize(placed.select("bucket", "node", "n", F.col("centre.node").alias("centre"), F.col("centre.n").alias("nc")), "members")
+    members = materialize(placed.select("bucket", "node", "n", "size", F.col("centre.node").alias("centre"), F.col("centre.n").alias("nc")), "members")
     texts = materialize(rows.join(members.select(F.col("node").alias("row_key")).distinct(), "row_key", "left_semi").select("row_key", "text"), "texts")
 
-    tried = materialize(_pairs(members.select(F.col("centre").alias("u"), F.col("nc").alias("nu"), F.col("node").alias("v"), F.col("n").alias("nv"))), "tried")
+    stars = members.filter(F.col("size") > SMALL).select(F.col("centre").alias("u"), F.col("nc").alias("nu"), F.col("node").alias("v"), F.col("n").alias("nv"))
+    few = members.filter(F.col("size") <= SMALL).groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("all"))  # at most SMALL
+    few = few.select("all", F.posexplode("all").alias("i", "a")).select("a", F.explode(F.slice("all", F.col("i") + 2, SMALL)).alias("b"))
+    few = few.select(F.col("a.node").alias("u"), F.col("a.n").alias("nu"), F.col("b.node").alias("v"), F.col("b.n").alias("nv"))
+    tried = materialize(_pairs(stars.unionByName(few)), "tried")
     links = _linked(tried, texts)
-    for star in range(2, STARS + 2):
-        labels = components(links)
-        now = members.join(labels, members["node"] == labels["node"], "left").select("bucket", members["node"], "n", F.coalesce("label", members["node"]).alias("label"))
-        mixed = now.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.min_by(F.struct("node", "n", "label"), F.xxhash64("node", F.lit(star))).alias("centre")).filter("a != b")
-        if star <= STARS:
-            found = now.join(mixed, "bucket").filter("label != centre.label").select(F.col("centre.node").alias("u"), F.col("centre.n").alias("nu"), F.col("node").alias("v"), F.col("n").alias("nv"))
-        else:
-            now = materialize(now.join(mixed.select("bucket"), "bucket", "left_semi"), "unsettled")
-            most = now.groupBy("bucket", "label").count().groupBy("bucket").agg(F.max_by("label", F.struct("count", "label")).alias("most"))
-            outside = now.join(most, "bucket").filter("label != most").select("bucket", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("label").alias("own"))
-            found = outside.join(now.select("bucket", F.col("node").alias("v"), F.col("n").alias("nv"), "label"), "bucket").filter("own != label").select("u", "nu", "v", "nv")
+    large = members.filter(F.col("size") > SMALL).select("bucket", "node", "n")
+    for star in range(2, STARS + 1):
+        now, mixed = _mixed(large, components(links), star)
+        found = now.join(mixed, "bucket").filter("label != centre.label").select(F.col("centre.node").alias("u"), F.col("centre.n").alias("nu"), F.col("node").alias("v"), F.col("n").alias("nv"))
         edges = materialize(_pairs(found).join(tried, ["u", "v"], "left_anti"), "edges")
-        if edges.isEmpty():
-            if star <= STARS:
-                continue
-            break
-        tried, links = tried.unionByName(edges), links.unionByName(_linked(edges, texts))
+        if not edges.isEmpty():
+            tried, links = tried.unionByName(edges), links.unionByName(_linked(edges, texts))
+    now, mixed = _mixed(large, components(links), STARS + 1)
+    unsettled = materialize(now.join(mixed.select("bucket"), "bucket", "left_semi"), "unsettled")
+    if not unsettled.isEmpty():
+        links = links.unionByName(_settle(unsettled, texts))
     labels = components(links)
 
     placed = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("c1", "c2", "n_shingles", "doc_id", "label")
