@@ -8,10 +8,12 @@ best directions as well. Vectors with cosine 0.98 then share a cap with probabil
 
 Equal vectors of equal label are one class with a count. Classes are joined on (label, direction), and all pairs in a cap are
 verified in double precision. A pair counts in the smallest cap that both are in, so no pair is emitted: a cap gives each of
-its classes a number of links, and edges of a spanning forest. A cap of more than TILE classes is cut to tiles of two chunks.
+its classes a number of links, and edges of a spanning forest. Only caps with several classes get vectors (in the table's own
+precision). A cap of more than TILE classes is cut to tiles of two chunks.
 
 Vectors that are null, empty, zero, or hold null or non-finite components, rows with a null label and rows with a null vec_id
-link with nothing: n_links 0, component_id vec_id, kept. Vectors of unequal length don't link. Repeated rows are other vectors.
+link with nothing: n_links 0, component_id vec_id, kept. Vectors of unequal length don't link. Repeated rows are other vectors;
+a vec_id names one vector.
 Other columns are left out. An empty table gives no rows.
 """
 
@@ -22,7 +24,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -30,7 +32,7 @@ from .store import materialize
 from .topk import matrices
 
 THRESHOLD = 0.98
-CODES, LISTED, LEAST = 16, 28, 8
+CODES, LISTED, LEAST = 32, 20, 8
 TILE = 2048
 _KNOWN: dict[int, tuple] = {}
 
@@ -42,12 +44,13 @@ def code(dim: int) -> tuple[np.ndarray, list[np.ndarray], float]:
         rotation = np.linalg.qr(r.standard_normal((dim, dim)))[0]
         sizes = [len(x) for x in np.array_split(np.arange(dim), 4)]
         codes = [r.standard_normal((CODES, n)) for n in sizes]
-        codes = [c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300) for c in codes]
-        x = r.standard_normal((200, dim))
+        codes = [np.unique(c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300), axis=0) for c in codes]  # a line has two
+        x = r.standard_normal((64, dim))
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         low, high = _halves(x @ rotation, codes)
-        scores = (low[:, :, None] + high[:, None, :]).ravel()
-        _KNOWN[dim] = rotation, codes, float(np.quantile(scores, 1 - LISTED / CODES**4))
+        most = 8 * LISTED
+        best = np.concatenate([np.sort((a[:, None] + b).ravel())[-most:] if len(a) * len(b) <= most else np.partition((a[:, None] + b).ravel(), -most)[-most:] for a, b in zip(low, high)])  # noqa: B905
+        _KNOWN[dim] = rotation, codes, float(np.sort(best)[-min(len(best), LISTED * len(x))])
     return _KNOWN[dim]
 
 
@@ -61,29 +64,31 @@ def decode(x: np.ndarray) -> list[np.ndarray]:
     """The directions of each unit vector, ascending."""
     rotation, codes, alpha = code(x.shape[1])
     out = []
-    for i in range(0, len(x), 512):
-        low, high = _halves(x[i : i + 512] @ rotation, codes)
-        top = np.sort((np.sort(low, axis=1)[:, -LEAST:, None] + np.sort(high, axis=1)[:, None, -LEAST:]).reshape(len(low), -1), axis=1)[:, -LEAST]
+    for i in range(0, len(x), 16):
+        low, high = _halves(x[i : i + 16] @ rotation, codes)
+        top = np.sort((np.sort(low, axis=1)[:, -LEAST:, None] + np.sort(high, axis=1)[:, None, -LEAST:]).reshape(len(low), -1), axis=1)
+        top = top[:, -min(LEAST, top.shape[1])]
         need = np.minimum(alpha, top) - 1e-12
         row, a = np.nonzero(low >= (need - high.max(axis=1))[:, None])
         pair, b = np.nonzero(low[row, a][:, None] + high[row] >= need[row][:, None])
-        caps = a[pair] * CODES * CODES + b
+        caps = a[pair] * high.shape[1] + b
         at = np.searchsorted(row[pair], np.arange(len(low) + 1))
         out += [np.sort(caps[at[j] : at[j + 1]]).astype(np.int32) for j in range(len(low))]
     return out
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        label_of = dict(zip(b.column(0).to_pylist(), b.column(2).to_pylist()))  # noqa: B905
-        known = {}
-        for _, ids, x in matrices(b, 1, 0):
-            norm = np.linalg.norm(x / np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-300), axis=1)
-            for i, v, ok in zip(ids.tolist(), x, norm > 0):  # noqa: B905
-                if ok:
-                    known.setdefault(i, v.tobytes())
-        ids = [i for i in b.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([known.get(i) if label_of.get(i) is not None else None for i in ids], pa.binary())], ["vec_id", "label", "v"])
+def _units(kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            known, size = {}, {}
+            for dim, ids, x in matrices(b, 1, 0):
+                some = np.abs(x).max(axis=1) > 0
+                for i, v in zip(ids[some].tolist(), x[some].astype(kind)):  # noqa: B905
+                    known[i], size[i] = v.tobytes(), dim
+            ids = [i if l is not None else None for i, l in zip(b.column(0).to_pylist(), b.column(2).to_pylist())]  # noqa: B905
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([size.get(i) for i in ids], pa.int32()), pa.array([known.get(i) for i in ids], pa.binary())], ["vec_id", "label", "dim", "v"])
+
+    return run
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -91,17 +96,17 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def _capped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = b.to_pylist()
-        for dim, group in groupby(sorted(rows, key=lambda r: len(r["v"])), key=lambda r: len(r["v"])):
-            part = list(group)
-            x = _unit(np.frombuffer(b"".join(r["v"] for r in part), np.float64).reshape(-1, dim // 8))
-            caps = decode(x)
-            for r, u, c in zip(part, x, caps):  # noqa: B905
-                n = len(c)
-                yield pa.RecordBatch.from_arrays([pa.array([r["label"]] * n, pa.int64()), pa.array([dim] * n, pa.int32()), pa.array(c), pa.array([r["node"]] * n, pa.int64()), pa.array([r["count"]] * n, pa.int64()), pa.array([u.tobytes()] * n), pa.array([c.tobytes()] * n)],
-                                                 ["label", "dim", "cap", "node", "count", "u", "caps"])
+def _capped(kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            label, dims, node, v = (c.to_pylist() for c in b.columns)
+            for dim in sorted(set(dims)):
+                own = [i for i, d in enumerate(dims) if d == dim]
+                caps = decode(_unit(np.frombuffer(b"".join(v[i] for i in own), kind).reshape(-1, dim).astype(np.float64)))
+                n = [len(c) for c in caps]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat([label[i] for i in own], n)), pa.array(np.full(sum(n), dim, np.int32)), pa.array(np.concatenate(caps)), pa.array(np.repeat([node[i] for i in own], n))], ["label", "dim", "cap", "node"])
+
+    return run
 
 
 def _seen_before(a: list[np.ndarray], b: list[np.ndarray], cap: int) -> np.ndarray:
@@ -126,14 +131,14 @@ def _seen_before(a: list[np.ndarray], b: list[np.ndarray], cap: int) -> np.ndarr
 LINKS = pa.schema([("node", pa.int64()), ("other", pa.int64()), ("links", pa.int64())])
 
 
-def _verified(threshold: float):
+def _verified(threshold: float, kind: str):
     def tile(rows: list[dict]) -> pa.Table:
         sides = [[r for r in rows if r["side"] == s] for s in (0, 1)]
         alone = not sides[1]
         a, b = sides[0], sides[0] if alone else sides[1]
         if not a or not b or (alone and len(a) < 2):
             return LINKS.empty_table()
-        x, y = (np.frombuffer(b"".join(r["u"] for r in s), np.float64).reshape(len(s), -1) for s in (a, b))
+        x, y = (_unit(np.frombuffer(b"".join(r["v"] for r in s), kind).reshape(len(s), -1).astype(np.float64)) for s in (a, b))
         hit = x @ y.T >= threshold
         if alone:
             np.fill_diagonal(hit, False)
@@ -142,7 +147,7 @@ def _verified(threshold: float):
             return LINKS.empty_table()
         hit = hit[np.ix_(i, j)]
         na, nb = np.array([a[k]["node"] for k in i]), np.array([b[k]["node"] for k in j])
-        lists = [[np.frombuffer(s[k]["caps"], np.int32) for k in w] for s, w in ((a, i), (b, j))]
+        lists = [[np.array(s[k]["caps"], np.int32) for k in w] for s, w in ((a, i), (b, j))]
         new = hit & ~_seen_before(*lists, rows[0]["cap"])
         ca, cb = np.array([a[k]["count"] for k in i]), np.array([b[k]["count"] for k in j])
         la, lb = new @ cb, new.T @ ca
@@ -168,21 +173,24 @@ def _verified(threshold: float):
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row of vectors (vec_id, embedding, label)."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label").cast("long").alias("label"))
-    units = materialize(rows.mapInArrow(_units, "vec_id long, label long, v binary"), "units")
-    classes = units.filter("v is not null").groupBy("label", "v").agg(F.min("vec_id").alias("node"), F.count("*").alias("count"))
+    kind = "f4" if "array<float>" in dict(vectors.dtypes)["embedding"] else "f8"
+    units = materialize(rows.mapInArrow(_units(kind), "vec_id long, label long, dim int, v binary"), "units")
+    classes = units.filter("v is not null").groupBy("label", "dim", "v").agg(F.min("vec_id").alias("node"), F.count("*").alias("count"))
     classes = materialize(classes, "vectors")
-    capped = classes.mapInArrow(_capped, "label long, dim int, cap int, node long, count long, u binary, caps binary")
     key = ["label", "dim", "cap"]
-    large = capped.groupBy(*key).count().filter(F.col("count") > TILE).select(*key, F.ceil(F.col("count") / TILE).cast("int").alias("chunks"))
-    tiled = capped.join(large, key, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    capped = classes.select("label", "dim", "node", "v").mapInArrow(_capped(kind), "label long, dim int, cap int, node long")
+    capped = materialize(capped.withColumn("size", F.count("*").over(Window.partitionBy(*key))).filter("size > 1"), "caps")
+    lists = capped.groupBy("node").agg(F.sort_array(F.collect_list("cap")).alias("caps"))
+    tiled = capped.withColumn("chunks", F.ceil(F.col("size") / TILE).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     tiled = tiled.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    tiled = tiled.select(*key, F.least("own", "with").alias("ta"), F.greatest("own", "with").alias("tb"), (F.col("own") > F.col("with")).cast("int").alias("side"), "node", "count", "u", "caps")
-    dealt = tiled.repartition(*key, "ta", "tb").sortWithinPartitions(*key, "ta", "tb")
-    found = materialize(dealt.mapInArrow(_verified(threshold), "node long, other long, links long"), "near")
+    tiled = tiled.select(*key, F.least("own", "with").alias("ta"), F.greatest("own", "with").alias("tb"), (F.col("own") > F.col("with")).cast("int").alias("side"), "node")
+    full = tiled.join(classes.select("node", "count", "v").join(lists, "node"), "node")
+    dealt = full.repartition(*key, "ta", "tb").sortWithinPartitions(*key, "ta", "tb")
+    found = materialize(dealt.mapInArrow(_verified(threshold, kind), "node long, other long, links long"), "near")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     labels = components(found.select(F.col("node").alias("u"), F.col("other").alias("v")))
     named = _named(classes, links, labels)
-    out = units.join(named, ["label", "v"], "left")
+    out = units.join(named, ["label", "dim", "v"], "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
 
@@ -190,4 +198,4 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def _named(classes: DataFrame, links: DataFrame, labels: DataFrame) -> DataFrame:
     own = labels.withColumnRenamed("label", "component_id")
     n = F.coalesce("links", F.lit(0)) + F.col("count") - 1
-    return classes.join(links, "node", "left").join(own, "node", "left").select("label", "v", n.alias("n_links"), F.coalesce("component_id", "node").alias("component_id"))
+    return classes.join(links, "node", "left").join(own, "node", "left").select("label", "dim", "v", n.alias("n_links"), F.coalesce("component_id", "node").alias("component_id"))
