@@ -43,7 +43,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     codec = bpe.Tokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    rows = codec.decode(codec.encode(docs.select("doc_id", "lang", "source", "text")))
+    rows = codec.round_trip(docs.select("doc_id", "lang", "source", "text"))
     whole = F.coalesce("text", F.lit("")).cast("binary") == F.col("decoded")
     return rows.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", whole.alias("round_trip"))
 

@@ -130,11 +130,13 @@ def test_bpe_is_tiktoken(spark, docs, empty):
     texts = ["", "a" * 5000, "the cat's  sat\n\n on\x1c it ", "naïve 日本語 😀", "ab" * 777, "0123456789" * 99, "<|endoftext|>"]
     df = docs.unionByName(spark.createDataFrame([(50 + i, t) for i, t in enumerate(texts)], "doc_id long, text string"), allowMissingColumns=True)
     codec = bpe.Tokenizer(path, public_tokenizers.PATTERN)
-    for r in codec.decode(codec.encode(df)).collect():
-        assert list(r.ids) == known.encode_ordinary(r.text or "") and bytes(r.decoded) == (r.text or "").encode()
+    for rows in (codec.decode(codec.encode(df)), codec.round_trip(df)):
+        assert rows.count() == df.count()
+        for r in rows.collect():
+            assert list(r.ids) == known.encode_ordinary(r.text or "") and bytes(r.decoded) == (r.text or "").encode()
     for r in codec.digests(df).join(df.select("doc_id", "text").distinct(), "doc_id").collect():
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, known.encode_ordinary(r.text or ""))).encode()).hexdigest()
-    assert codec.encode(empty).count() == 0
+    assert codec.encode(empty).count() == codec.round_trip(empty).count() == 0
 
 
 def test_chat_folds(spark):

@@ -18,14 +18,19 @@ import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .text import slices
+
 LEAF = 8
 #: Entries of each memo in a worker (matches, short byte strings, token pairs).
 MEMO = 250_000
+#: Bytes of text whose ids a worker holds at once (a longer text is on its own), and rows that it decodes at once.
+SLICE, DECODED = 1 << 20, 256
 #: White space as Unicode's White_Space property lists it (fixed values).
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -146,6 +151,11 @@ class _Leaves(dict):
         return out
 
 
+def _ids(text: str) -> np.ndarray:
+    """'5 17 3' as numbers."""
+    return np.fromstring(text, np.int32, sep=" ") if text else np.zeros(0, np.int32)
+
+
 @lru_cache(2)
 def _codec(ranks: bytes, pattern: str) -> tuple[Codec, _Leaves]:
     codec = Codec(load_ranks(ranks), pattern)
@@ -162,18 +172,29 @@ class Tokenizer:
 
     def encode(self, docs: DataFrame, text: str = "text", ids: str = "ids") -> DataFrame:
         """`docs` with a column `ids` array<int> (in place of one of that name)."""
+        return self._run(docs, text, ids, None)
+
+    def round_trip(self, docs: DataFrame, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+        """`docs` with `ids` and the bytes that these ids decode to: encode() and decode() in one Python worker for each task."""
+        return self._run(docs, text, ids, out)
+
+    def _run(self, docs: DataFrame, text: str, ids: str, out: str | None) -> DataFrame:
         ranks, pattern = self.ranks, self.pattern
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codec, leaves = _codec(ranks, pattern)
-            for batch in batches:
+            for batch in slices(batches, text, SLICE):
                 column = batch.column(batch.schema.get_field_index(text)).to_pylist()
-                out = [list(map(int, " ".join([leaves[m][0] for m in codec.split(t or "")]).split())) for t in column]
-                kept = [(f.name, c) for f, c in zip(batch.schema, batch.columns, strict=True) if f.name != ids]
-                yield pa.RecordBatch.from_arrays([c for _, c in kept] + [pa.array(out, pa.list_(pa.int32()))], [n for n, _ in kept] + [ids])
+                found = [_ids(" ".join([leaves[m][0] for m in codec.split(t or "")])) for t in column]
+                ends = np.cumsum([0, *map(len, found)])
+                made = {ids: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found)))}
+                if out is not None:
+                    made[out] = pa.array([codec.decode(x.tolist()) for x in found], pa.binary())
+                kept = {f.name: c for f, c in zip(batch.schema, batch.columns, strict=True) if f.name not in made}
+                yield pa.RecordBatch.from_pydict(kept | made)
 
-        schema = docs.drop(ids).withColumn(ids, F.lit(None).cast("array<int>")).schema
-        return docs.mapInArrow(run, schema)
+        schema = docs.drop(ids, *([out] if out else [])).withColumn(ids, F.lit(None).cast("array<int>"))
+        return docs.mapInArrow(run, (schema.withColumn(out, F.lit(None).cast("binary")) if out else schema).schema)
 
     def decode(self, rows: DataFrame, ids: str = "ids", out: str = "decoded") -> DataFrame:
         """`rows` with a binary column `out`: the bytes of `ids` (null: empty)."""
@@ -181,10 +202,12 @@ class Tokenizer:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codec, _ = _codec(ranks, pattern)
-            for batch in batches:
-                column = batch.column(batch.schema.get_field_index(ids)).to_pylist()
-                kept = [(f.name, c) for f, c in zip(batch.schema, batch.columns, strict=True) if f.name != out]
-                yield pa.RecordBatch.from_arrays([c for _, c in kept] + [pa.array([codec.decode(x or []) for x in column], pa.binary())], [n for n, _ in kept] + [out])
+            for whole in batches:
+                for at in range(0, whole.num_rows, DECODED):
+                    batch = whole.slice(at, DECODED)
+                    column = batch.column(batch.schema.get_field_index(ids))
+                    made = {out: pa.array([codec.decode(x.as_py() or []) for x in column], pa.binary())}
+                    yield pa.RecordBatch.from_pydict({f.name: c for f, c in zip(batch.schema, batch.columns, strict=True) if f.name != out} | made)
 
         schema = rows.drop(out).withColumn(out, F.lit(None).cast("binary")).schema
         return rows.mapInArrow(run, schema)
