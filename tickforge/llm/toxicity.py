@@ -261,22 +261,38 @@ def fit(texts: list[str], labels: np.ndarray, steps: int = 200, seed: int = 3) -
     return net
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> tuple[list[str], np.ndarray]:
-    """At most `rows` labelled texts of each class, none held out; the driver receives this bounded sample."""
+def sample(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:
+    """(doc_id, text, label) of at most `rows` labelled texts of each class, none held out. The driver sees their ids only."""
     known = labels.filter("doc_id is not null and toxic is not null and crc32(cast(doc_id as string)) % 3 != 1")
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("__tx_label"))
     taken = [known.filter(F.col("__tx_label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect() for c in (0, 1)]
     ids = docs.sparkSession.createDataFrame([(int(x[0]), int(x[1])) for part in taken for x in part] or [(None, 0)], "doc_id long, __tx_label int")
-    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").filter(F.length("text") <= LONGEST).collect()  # ids has at most 2 * rows rows
-    first = {x.doc_id: (x.text, x["__tx_label"]) for x in sorted(found, key=lambda x: (x.doc_id, x.text), reverse=True)}
-    pairs = [first[k] for k in sorted(first)]
-    return [p[0] for p in pairs], np.array([p[1] for p in pairs], np.int64)
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").filter(F.length("text") <= LONGEST)  # ids has at most 2 * rows rows
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("__tx_label").alias("label"))
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The weights of a network for all rows (doc_id, text, label); none if they aren't of both classes."""
+    rows = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: r[0])
+    labels = np.array([r[2] for r in rows], np.int64)
+    if len(set(labels.tolist())) == 2:
+        net = fit([r[1] for r in rows], labels)
+        yield pa.RecordBatch.from_pydict({"name": pa.array(list(net.w)), "weights": pa.array([v.tobytes() for v in net.w.values()], pa.binary())})
+
+
+def trained(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Network | None:
+    """A network fitted by one task to the bounded sample; the driver receives its weights (4 MB). None without both classes."""
+    found = sample(docs, labels, rows).repartition(1).mapInArrow(_fitted, "name string, weights binary").collect()
+    if not found:
+        return None
+    net = Network()
+    net.w |= {r["name"]: np.frombuffer(r["weights"], np.float32).reshape(net.w[r["name"]].shape) for r in found}
+    return net
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, rows: int = ROWS) -> DataFrame:
     """`docs` with held_out, score and predicted."""
-    texts, marks = sample(docs, labels, rows)
-    net = fit(texts, marks) if len(set(marks.tolist())) == 2 else None
+    net = trained(docs, labels, rows)
     docs = docs.drop("held_out", "score", "predicted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
