@@ -215,19 +215,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     few = few.select("all", F.posexplode("all").alias("i", "a")).select("a", F.explode(F.slice("all", F.col("i") + 2, SMALL)).alias("b"))
     few = few.select(F.col("a.node").alias("u"), F.col("a.n").alias("nu"), F.col("b.node").alias("v"), F.col("b.n").alias("nv"))
     tried = materialize(_pairs(stars.unionByName(few)), "tried")
-    links = _linked(tried, texts)
+    labels = components(_linked(tried, texts))
     large = members.filter(F.col("size") > SMALL).select("bucket", "node", "n")
     for star in range(2, STARS + 1):
-        now, mixed = _mixed(large, components(links), star)
+        now, mixed = _mixed(large, labels, star)
         found = now.join(mixed, "bucket").filter("label != centre.label").select(F.col("centre.node").alias("u"), F.col("centre.n").alias("nu"), F.col("node").alias("v"), F.col("n").alias("nv"))
         edges = materialize(_pairs(found).join(tried, ["u", "v"], "left_anti"), "edges")
         if not edges.isEmpty():
-            tried, links = tried.unionByName(edges), links.unionByName(_linked(edges, texts))
-    now, mixed = _mixed(large, components(links), STARS + 1)
+            tried, labels = tried.unionByName(edges), components(_linked(edges, texts), labels)
+    now, mixed = _mixed(large, labels, STARS + 1)
     unsettled = materialize(now.join(mixed.select("bucket"), "bucket", "left_semi"), "unsettled")
     if not unsettled.isEmpty():
-        links = links.unionByName(_settle(unsettled, texts))
-    labels = components(links)
+        labels = components(_settle(unsettled, texts), labels)
 
     placed = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("c1", "c2", "n_shingles", "doc_id", "label")
     least = placed.groupBy("label").agg(F.min("doc_id").alias("component_id"))
