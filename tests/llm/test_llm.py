@@ -202,6 +202,16 @@ def test_mixing_means(spark, docs, empty):
     assert mixing.mix(docs, alpha=1.0).count() > 0 and mixing.mix(empty).count() == 0
 
 
+def test_mixing_gives_small_sources_their_weight(spark):
+    df = spark.range(40000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 40, "few").otherwise("rest").alias("source"))
+    got = mixing.mix(df, {"few": 1.0, "rest": 1.0}).filter("source = 'few'").groupBy("doc_id").agg(F.count("*").alias("n"), F.max("n_copies").alias("told"), F.countDistinct("copy").alias("copies"), F.max("copy").alias("last")).collect()
+    assert len(got) == 40 and all(r.n == r.told == r.copies == r.last + 1 for r in got)
+    n = np.array([r.n for r in got])  # of mean 500, so that the sum has mean 20,000 and a deviation of 141
+    assert abs(n.sum() - 20000) < 700 and 12 < n.std() < 36
+    hot = mixing.mix(df.filter("doc_id in (1, 50)"), {"few": 1e6, "rest": 1.0}, size=70000.0).filter("source = 'few'").agg(F.count("*"), F.countDistinct("copy")).first()
+    assert abs(hot[0] - 140000) < 2500 and hot[0] == hot[1]
+
+
 def test_toxicity_learns(spark, docs, empty):
     r = np.random.default_rng(1)
     names = ["".join(r.choice(list("abcdefgh"), 5)) for _ in range(300)]  # words of prose repeat; a mark's ending is new each time
