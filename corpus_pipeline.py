@@ -1,7 +1,7 @@
 """The corpus pipeline: each stage reads what the one before it kept, as Parquet.
 
 toxicity        documents that the network scores at or above its threshold go
-near_duplicates one document of each near-duplicate group stays, that of the smallest doc_id
+near_duplicates one document of each near-duplicate group (shingles of five words) stays, that of the smallest doc_id
 substrings      words of passages that an earlier document has are cut; untouched texts stay as they are
 mixing          documents are repeated or dropped by Poisson counts, sources at their target weights
 bpe             texts become ids, which are decoded to check the round trip
@@ -26,7 +26,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = neardup.near_duplicates(docs).filter("kept").select("row_key")
+    kept = neardup.near_duplicates(docs, size=5, similarity=0.8).filter("kept").select("row_key")
     keyed = docs.withColumn("row_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text")))
     return keyed.join(kept, "row_key", "left_semi").dropDuplicates(["row_key"]).select(*docs.columns)
 

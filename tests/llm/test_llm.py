@@ -11,6 +11,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tickforge.llm import bpe, capfilters, chat, licenses, mixing, neardup, queries, substrings, topk, toxicity, urls
 from tickforge.llm.components import components
 from tickforge.llm.fmindex import FMIndex
@@ -110,6 +111,32 @@ def test_near_duplicates_brute_force(spark, docs, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("size,similarity", [(5, 0.8), (3, 0.5), (1, 0.95)])
+def test_near_duplicates_of_other_sizes(spark, size, similarity):
+    r = np.random.default_rng(4)
+    words = [f"v{i}" for i in range(200)]
+    texts = [" ".join(f"n{k}" if k in gone else w for k, w in enumerate(words)) for gone in [set(range(9, 9 + 24 * m, 24)) for m in range(9)] + [set(r.choice(200, 40).tolist()) for _ in range(8)]]
+    texts += ["one two three", "One two three", "one two", "one", "one two three four five", "one two three four", "", None]
+    sets = [neardup.shingles(t, size) for t in texts]
+    want = list(range(len(texts)))
+    for _ in texts:
+        want = [min([want[i]] + [want[j] for j in range(len(texts)) if sets[i] and sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= similarity]) for i in range(len(texts))]
+    got = neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), size, similarity).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == {i: (len(s), want[i]) for i, s in enumerate(sets)}
+
+
+def test_stage_keeps_what_differs_in_five_words(spark):
+    words = [f"v{i}" for i in range(200)]
+    rows = [(1, " ".join(words)), (2, " ".join(f"n{k}" if k % 25 == 9 else w for k, w in enumerate(words))), (3, " ".join([*words, "end"]))]  # 0.85 of two words, 0.66 of five
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), DATA)
+    assert sorted(x.doc_id for x in kept.collect()) == [1, 2]
+
+
+def test_banding():
+    assert neardup.banding(0.8) == (40, 6)
+    assert all((1 - s**rows) ** bands <= neardup.MISSED for s in (0.05, 0.3, 0.5, 0.9, 1.0) for bands, rows in [neardup.banding(s)])
+
+
 def test_densified_fills_every_bin():
     least = np.full((2, neardup.BINS), 0xFFFFFFFFFFFFFFFF, np.uint64)
     least[0, 3] = 7

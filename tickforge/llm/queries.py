@@ -38,7 +38,7 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=2, similarity=0.8).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
