@@ -222,6 +222,12 @@ def test_licenses(spark, docs, empty):
     assert licenses.scan(docs).count() == len(TEXTS) and licenses.scan(empty).count() == 0
 
 
+def test_licenses_of_repeated_notices(spark):
+    rows = [(1, "x\n" + "Licensed under the Apache License, Version 2.0. " * 30), (2, "x\n" + (licenses.TEMPLATES["MIT"][1] + " ") * 3)]
+    got = {r.doc_id: (r.license, r.dice > 0.9) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("Apache-2.0", True), 2: ("MIT", True)}
+
+
 def test_mixing_means(spark, docs, empty):
     df = spark.range(20000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 4 == 0, "a").when(F.col("id") % 4 < 3, "b").alias("source"), F.lit("t").alias("text"))
     got = {r.source: r["count"] for r in mixing.mix(df, {"a": 3.0, "b": 1.0}).groupBy("source").count().collect()}

@@ -3,7 +3,8 @@
 A text's units are its lines and the whole of it. A unit's words are its runs of `[a-z0-9]+` after A-Z are lower-cased; its
 set holds its distinct word bigrams. A unit matches a template with Dice = 2 * common / (size + size) >= `threshold`. Since
 common <= the smaller size, only templates whose size is within [s * t / (2 - t), s * (2 - t) / t] of a unit's size s are
-compared. A unit with more than twice as many bigrams, repeats counted, as the largest bound is no notice. Each document is judged in its own row: no shuffle, no join, whatever the sources or copies.
+compared, however often a unit repeats its bigrams. Since n distinct words make n - 1 distinct bigrams at least, sets are built only
+of units with few enough distinct words. Each document is judged in its own row: no shuffle, no join, whatever the sources or copies.
 
 Per document: license (the best match's; ties to the smaller name), dice, n_units (units that match any template). Null or
 empty texts and texts without a match have null, 0.0 and 0. A line of a very long text is a unit as any other; units outside
@@ -55,7 +56,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, thresho
     least, most = (min(len(b) for _, b in known) * low, max(len(b) for _, b in known) * high) if known else (1, 0)
     table = F.array(*(F.struct(F.lit(k).alias("name"), F.array(*map(F.lit, b)).alias("b")) for k, b in known)) if known else None
     lines = F.transform(F.split(F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER), "\n"), lambda x: F.regexp_extract_all(x, F.lit("[a-z0-9]+"), F.lit(0)))
-    sized = lambda w: (F.size(w) - 1).between(F.lit(least), F.lit(2 * most))
+    sized = lambda w: (F.size(w) - 1 >= F.lit(least)) & (F.size(F.array_distinct(w)) - 1 <= F.lit(most))
     sets: Column = F.transform(
         F.filter(F.concat(F.col("__ls_lines"), F.when(F.size("__ls_lines") > 1, F.array(F.flatten("__ls_lines"))).otherwise(F.array().cast("array<array<string>>"))), sized),
         lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i)))),
