@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import textwrap
 
 import duckdb
 import numpy as np
@@ -228,6 +229,21 @@ def test_licenses_of_repeated_notices(spark):
     assert got == {1: ("Apache-2.0", True), 2: ("MIT", True)}
 
 
+def test_licenses_within_and_across_lines(spark):
+    fill, mit = " ".join(f"w{i}" for i in range(60)), licenses.TEMPLATES["MIT"][1]
+    wrap = lambda t, n: "\n".join(textwrap.wrap(t, n))
+    head, tail = mit.split(" The above copyright")
+    canonical = f"MIT License\n\nCopyright (c) 2020 A\n\n{head}\n\nThe above copyright{tail}\n\n{fill}"
+    rows = [
+        (1, f"{fill}\n{wrap(mit, 40)}\n{fill}"), (2, canonical), (3, "\n\n".join(wrap(x, 78) for x in canonical.split("\n\n"))), (4, f"{fill}\n{wrap(licenses.TEMPLATES['ISC'][0], 30)}\n{fill}"),
+        (5, f"{fill} {licenses.TEMPLATES['GPL-3.0'][0]} {fill}"), (6, f"{fill}\n{wrap(licenses.TEMPLATES['GPL-3.0'][0], 20)}\n{fill}\nLicensed under CC BY 4.0.\n{wrap(licenses.TEMPLATES['MPL-2.0'][0], 30)}"),
+        (7, f"{fill} {mit} {mit} {mit} {fill}"), (8, f"{fill} {head[:200]} {fill}"), (9, f"{fill} licensed under the big apache of license and version"),
+    ]
+    got = {r.doc_id: (r.license, round(r.dice, 3), r.n_units) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i][0] for i in range(1, 10)] == ["MIT", "MIT", "MIT", "ISC", "GPL-3.0", "CC-BY-4.0", "MIT", None, None]
+    assert all(got[i][1:] == (1.0, 1) for i in (1, 2, 3, 4, 5)) and got[6][2] == 3 and got[7][1:] == (1.0, 3)
+
+
 def test_mixing_means(spark, docs, empty):
     df = spark.range(20000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 4 == 0, "a").when(F.col("id") % 4 < 3, "b").alias("source"), F.lit("t").alias("text"))
     got = {r.source: r["count"] for r in mixing.mix(df, {"a": 3.0, "b": 1.0}).groupBy("source").count().collect()}
