@@ -28,7 +28,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = neardup.near_duplicates(docs, size=5, similarity=0.8).filter("kept").select("row_key")
     keyed = docs.withColumn("row_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text")))
-    return keyed.join(kept, "row_key", "left_semi").dropDuplicates(["row_key"]).select(*docs.columns)
+    own = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())  # rows without an id are linked with nothing: all stay
+    return keyed.join(kept, "row_key", "left_semi").withColumn("own", own).dropDuplicates(["row_key", "own"]).select(*docs.columns)
 
 
 def cut_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -133,6 +133,12 @@ def test_stage_keeps_what_differs_in_five_words(spark):
     assert sorted(x.doc_id for x in kept.collect()) == [1, 2]
 
 
+def test_stage_keeps_rows_without_ids(spark):
+    rows = [(None, "a b c d e f"), (None, "a b c d e f"), (None, None), (None, None), (1, "a b c d e f"), (1, "a b c d e f"), (2, "A b c d e f")]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), DATA)
+    assert sorted(str(tuple(x)) for x in kept.collect()) == sorted(str(x) for x in rows[:5])
+
+
 def test_banding():
     assert neardup.banding(0.8) == (40, 6)
     assert all((1 - s**rows) ** bands <= neardup.MISSED for s in (0.05, 0.3, 0.5, 0.9, 1.0) for bands, rows in [neardup.banding(s)])
