@@ -1,45 +1,59 @@
 """The corpus pipeline: each stage reads what the one before it kept, as Parquet.
 
 toxicity        documents that the network scores at or above its threshold go
-near_duplicates one document of each near-duplicate group (shingles of five words) stays, that of the smallest doc_id
+near_duplicates one document of each near-duplicate group (shingles of five words) stays, that of the smallest doc_id; equal rows
+                with an id are one document, rows without an id are linked with nothing and all stay
 substrings      words of passages that an earlier document has are cut; untouched texts stay as they are
 mixing          documents are repeated or dropped by Poisson counts, sources at their target weights
 bpe             texts become ids, which are decoded to check the round trip
 
-Nulls, empty texts and other cases: see each operator; columns beyond those of documents are kept but by near_duplicates'
-join, which needs none of them.
+Each stage keeps the columns of its input, whatever their names: rows go through the operators whole, in one column. Null and
+empty texts are kept and have no ids; an empty table gives an empty table. Other cases: see each operator.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickforge.llm import bpe, mixing, neardup, substrings, toxicity
 from tickforge.llm.store import materialize, table
 
+ROW = "__cp_row"
+
+
+def _carried(docs: DataFrame, *names: str) -> DataFrame:
+    """The columns that an operator reads, and each row as a whole: no column of the operator's meets one of the table's."""
+    return docs.select(*names, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(ROW))
+
+
+def _unpacked(rows: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    return rows.select(*(changed.get(c, F.col(ROW).getField(c)).alias(c) for c in docs.columns))
+
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = toxicity.score(docs, table(spark, sf_dir, "labels"))
-    return scored.filter("predicted = 0").select(*docs.columns)
+    scored = toxicity.score(_carried(docs, "doc_id", "text"), table(spark, sf_dir, "labels"))
+    return _unpacked(scored.filter("predicted = 0"), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = neardup.near_duplicates(docs, size=5, similarity=0.8).filter("kept").select("row_key")
-    keyed = docs.withColumn("row_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text")))
-    own = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())  # rows without an id are linked with nothing: all stay
-    return keyed.join(kept, "row_key", "left_semi").withColumn("own", own).dropDuplicates(["row_key", "own"]).select(*docs.columns)
+    kept = neardup.near_duplicates(docs, size=5, similarity=0.8).filter("kept").select(F.col("doc_id").alias("__cp_id"), F.col("row_key").alias("__cp_of"))
+    keyed = _carried(docs, "doc_id", "text").withColumn("__cp_key", F.xxhash64("doc_id", "text")).drop("text")
+    same = (F.col("__cp_key") == F.col("__cp_of")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__cp_id"))
+    own = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    return _unpacked(keyed.join(kept, same, "left_semi").withColumn("__cp_own", own).dropDuplicates(["doc_id", "__cp_key", "__cp_own"]), docs)
 
 
 def cut_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = substrings.dedup(docs)
-    cut = found.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")))
-    return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    found, cut = substrings.dedup(_carried(docs, "doc_id", "text")), F.col("n_removed") > 0
+    old = F.col(ROW)
+    length = F.when(cut, F.length("kept_text").cast("long")).otherwise(old.getField("n_chars")) if "n_chars" in docs.columns else None
+    return _unpacked(found, docs, text=F.when(cut, F.col("kept_text")).otherwise(F.col("text")), **({"n_chars": length} if length is not None else {}))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs).select(*docs.columns)
+    return _unpacked(mixing.mix(_carried(docs, "doc_id", "source")), docs)
 
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +71,7 @@ STAGES = [
     ("bpe", tokenized),
 ]
 
-#: A trained network decides the first stage, and SQL has no byte-level BPE; tests hold the stages against brute force.
+#: A trained network decides the first stage, and SQL has no byte-level BPE; tests/llm/test_pipeline.py holds the stages and run() against brute force.
 ORACLE_SQL = None
 
 
