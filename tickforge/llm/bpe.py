@@ -24,7 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import slices
+from .store import small_batches
+from .text import give_back, slices
 
 LEAF = 8
 #: Entries of each memo in a worker (matches, short byte strings, token pairs).
@@ -180,6 +181,7 @@ class Tokenizer:
 
     def _run(self, docs: DataFrame, text: str, ids: str, out: str | None) -> DataFrame:
         ranks, pattern = self.ranks, self.pattern
+        small_batches(docs.sparkSession)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codec, leaves = _codec(ranks, pattern)
@@ -215,6 +217,7 @@ class Tokenizer:
     def digests(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row: texts are encoded, and the ids decoded, match by match."""
         ranks, pattern = self.ranks, self.pattern
+        small_batches(docs.sparkSession)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codec, memo = _codec(ranks, pattern)
@@ -227,5 +230,6 @@ class Tokenizer:
                     ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
                     bytes_sha.append(hashlib.sha256(b"".join([x[1] for x in leaves])).hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(bytes_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                give_back()
 
         return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .store import materialize
+from .text import give_back
 from .topk import matrices
 
 THRESHOLD = 0.98
@@ -166,6 +167,7 @@ def _verified(threshold: float, kind: str):
         rows = (r for b in batches for r in b.to_pylist())
         for _, group in groupby(rows, key=lambda r: (r["label"], r["dim"], r["cap"], r["ta"], r["tb"])):
             yield from tile(list(group)).to_batches()
+        give_back()
 
     return run
 

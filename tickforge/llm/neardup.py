@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import materialize
+from .store import materialize, small_batches
 from .text import LOWER, mix, ngram_hashes, slices, strings, word_hashes, words
 
 SIZE, SIMILARITY = 2, 0.8
@@ -233,6 +233,7 @@ def _settle(members: DataFrame, texts: DataFrame, size: int, similarity: float)
 
 def near_duplicates(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:
     """Groups of documents linked by a Jaccard similarity of at least `similarity` of their shingles of `size` words."""
+    small_batches(docs.sparkSession)
     compared = _compared(size, similarity)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"), "text")
     signed = materialize(rows.mapInArrow(_signed(size, similarity), SIGNED), "signatures")

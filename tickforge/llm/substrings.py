@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .fmindex import DEPTH, FMIndex
-from .store import scaled
-from .text import ngram_hashes, slices, strings, word_hashes, words
+from .store import scaled, small_batches
+from .text import give_back, ngram_hashes, slices, strings, word_hashes, words
 
 WINDOW, ANCHOR = 13, 6
 #: Bytes of input files for each block and shard, and their least number.
@@ -191,7 +191,9 @@ def _pieces(window: int, anchor: int, shards: int):
             add(where, part, b"\n".join(x[1] for x in part))
         if local:
             add(int(key[0].as_py()) % shards, local, None)
-        return pa.table(out, PIECES)
+        made = pa.table(out, PIECES)
+        give_back()
+        return made
 
     return run
 
@@ -256,6 +258,7 @@ def _search(window: int, shards: int, blocks: int):
                 pieces = [p for r in held for p in r["texts"].split(b"\n")]
                 masks = _owned(pieces, of("docs", np.int64), of("masks", np.uint16), window)
                 yield from found(of("rows", np.int64), of("starts", np.int64), masks)
+                give_back()
 
     return run
 
@@ -282,7 +285,9 @@ def _removed(window: int, names: list[str], schema: pa.Schema):
             n_removed.append(total - len(own))
             kept.append(b" ".join(own))
         columns = [docs.column(n) for n in names] + [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
-        return pa.table([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema)
+        made = pa.table([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema)
+        give_back()
+        return made
 
     return run
 
@@ -293,6 +298,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFr
         raise ValueError(f"an anchor has at most a window's words, a window at most {DEPTH}")
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    small_batches(docs.sparkSession)
     blocks = scaled(docs, BLOCK_BYTES, LEAST_BLOCKS)
     docs = docs.drop("n_words", "n_removed", "kept_text")
     names = docs.columns

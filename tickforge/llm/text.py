@@ -5,6 +5,7 @@ A word is a run of bytes other than space and \\t \\n \\v \\f \\r, which in UTF-
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,7 +55,17 @@ def strings(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers are reused, and what they hold counts towards their executor's limit."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in slices with about `most` bytes of text at most (a longer text is a slice of its own)."""
     for batch in batches:
         if not batch.num_rows:
@@ -65,6 +76,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
             j = max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1)
             yield batch.slice(i, j - i)
             i = j
+            give_back()
 
 
 #: White space and ASCII punctuation.

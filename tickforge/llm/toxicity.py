@@ -6,12 +6,13 @@ mean of hashed vectors of its byte n-grams (3 to 5, with marks for both ends). F
 states; a text's score is that of its highest window. Training is multi-instance: each round takes the highest window of
 every text under the present weights (and a random one of clean texts), as labels are of whole texts.
 
-Labels are read only where crc32(doc_id as text) mod 3 is not 1. The fit uses at most `ROWS` labelled rows of each class
-(those of the lowest hash, texts of at most `LONGEST` characters): a bounded sample; scoring covers all rows.
+Labels are read only where crc32(doc_id as text) mod 3 is not 1. The fit uses a bounded sample of each class: the `rows` labelled
+rows of the lowest hash and, of these in that order, whole texts as long as they fit in `chars` characters together. Scoring
+covers all rows and whole texts.
 
 Null and empty texts, and texts without words, score 0.0. A null doc_id is not held out. Null labels are left out; a
 doc_id with several labels has the highest; a label's text is any one of its doc_id's rows. Without labels of both classes
-every score is 0.0. Long texts are read in slices of windows. Repeated rows get repeated scores; only doc_id and text are
+every score is 0.0. An empty table gives an empty table. Long texts are read in slices of windows. Repeated rows get repeated scores; only doc_id and text are
 read of `docs`, and other columns pass through `score` but for those of the results' names. No column but the text is an input.
 """
 
@@ -24,10 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import APART, LOWER, mix, slices, strings, word_hashes, words
+from .store import small_batches
+from .text import APART, LOWER, give_back, mix, slices, strings, word_hashes, words
 
 WINDOW, STRIDE = 32, 24
-ROWS, LONGEST = 1500, 60_000
+#: Bounds of the sample that a network is fitted to, of each class: labelled rows, and characters of their texts.
+ROWS, CHARS = 1500, 16_000_000
+#: Windows that a forward pass reads at once, and bytes of text whose windows are listed at once.
+BATCH, SLICE = 4096, 2 << 20
 THRESHOLD = 0.7
 _WORDS, _GRAMS, _DW, _DC, _H, _A = 1 << 15, 1 << 16, 8, 12, 8, 8
 _D = _DW + _DC
@@ -187,8 +192,8 @@ class Texts:
 
     def logits(self, net: Network) -> np.ndarray:
         inputs, out = self.inputs(net), np.empty(len(self.begin), np.float32)
-        for i in range(0, len(out), 8192):
-            which = np.arange(i, min(i + 8192, len(out)))
+        for i in range(0, len(out), BATCH):
+            which = np.arange(i, min(i + BATCH, len(out)))
             out[which] = net.forward(inputs, self.index(which))
         return out
 
@@ -221,7 +226,7 @@ def _start(net: Network, t: Texts, labels: np.ndarray) -> np.ndarray:
     net.w["gram"][:, 0] = odds * (n0 + n1) / (n0 + n1 + 3)
     x = t.inputs(net)
     guess = np.append(x[:, 0] + x[:, _DW], -np.inf)
-    return np.concatenate([guess[t.index(np.arange(i, min(i + 8192, len(t.begin))))].max(axis=1) for i in range(0, len(t.begin), 8192)])
+    return np.concatenate([guess[t.index(np.arange(i, min(i + BATCH, len(t.begin))))].max(axis=1) for i in range(0, len(t.begin), BATCH)])
 
 
 def fit(texts: list[str], labels: np.ndarray, steps: int = 200, seed: int = 3) -> Network:
@@ -262,27 +267,40 @@ def fit(texts: list[str], labels: np.ndarray, steps: int = 200, seed: int = 3) -
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:
-    """(doc_id, text, label) of at most `rows` labelled texts of each class, none held out. The driver sees their ids only."""
+    """(doc_id, place, label, text) of at most `rows` labelled texts of each class, none held out; place is their order. The driver sees their ids only."""
     known = labels.filter("doc_id is not null and toxic is not null and crc32(cast(doc_id as string)) % 3 != 1")
-    known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("__tx_label"))
+    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("__tx_label"))
     taken = [known.filter(F.col("__tx_label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect() for c in (0, 1)]
-    ids = docs.sparkSession.createDataFrame([(int(x[0]), int(x[1])) for part in taken for x in part] or [(None, 0)], "doc_id long, __tx_label int")
-    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").filter(F.length("text") <= LONGEST)  # ids has at most 2 * rows rows
-    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("__tx_label").alias("label"))
+    ids = docs.sparkSession.createDataFrame([(x[0], i, x[1]) for part in taken for i, x in enumerate(part)] or [(None, 0, 0)], "doc_id long, __tx_place int, __tx_label int")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")  # ids has at most 2 * rows rows
+    return found.groupBy("doc_id").agg(F.first("__tx_place").alias("place"), F.first("__tx_label").alias("label"), F.min("text").alias("text"))
 
 
-def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The weights of a network for all rows (doc_id, text, label); none if they aren't of both classes."""
-    rows = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: r[0])
-    labels = np.array([r[2] for r in rows], np.int64)
-    if len(set(labels.tolist())) == 2:
-        net = fit([r[1] for r in rows], labels)
-        yield pa.RecordBatch.from_pydict({"name": pa.array(list(net.w)), "weights": pa.array([v.tobytes() for v in net.w.values()], pa.binary())})
+def _fitted(chars: int):
+    """The weights of a network for sorted rows (doc_id, place, label, text); none if they aren't of both classes."""
 
-
-def trained(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Network | None:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, labels, left = [], [], {0: chars, 1: chars}
+        for b in batches:
+            for label, text in zip(b.column(2).to_pylist(), b.column(3), strict=True):
+                text = text.as_py() or ""
+                if len(text) <= left[label]:
+                    left[label] -= len(text)
+                    texts.append(text)
+                    labels.append(label)
+        if len(set(labels)) == 2:
+            net = fit(texts, np.array(labels, np.int64))
+            texts.clear()
+            give_back()
+            yield pa.RecordBatch.from_pydict({"name": pa.array(list(net.w)), "weights": pa.array([v.tobytes() for v in net.w.values()], pa.binary())})
+
+    return run
+
+
+def trained(docs: DataFrame, labels: DataFrame, rows: int = ROWS, chars: int = CHARS) -> Network | None:
     """A network fitted by one task to the bounded sample; the driver receives its weights (4 MB). None without both classes."""
-    found = sample(docs, labels, rows).repartition(1).mapInArrow(_fitted, "name string, weights binary").collect()
+    dealt = sample(docs, labels, rows).repartition(1).sortWithinPartitions("label", "place")
+    found = dealt.mapInArrow(_fitted(chars), "name string, weights binary").collect()
     if not found:
         return None
     net = Network()
@@ -290,13 +308,14 @@ def trained(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Network | N
     return net
 
 
-def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, rows: int = ROWS) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, rows: int = ROWS, chars: int = CHARS) -> DataFrame:
     """`docs` with held_out, score and predicted."""
-    net = trained(docs, labels, rows)
+    small_batches(docs.sparkSession)
+    net = trained(docs, labels, rows, chars)
     docs = docs.drop("held_out", "score", "predicted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE):
             out = np.zeros(b.num_rows)
             if net is not None:
                 t = Texts(b.column(b.schema.get_field_index("text")))
