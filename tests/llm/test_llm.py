@@ -181,6 +181,29 @@ def test_chat_folds(spark):
     assert chat.unescape(whole[got[2].loss_from : got[2].loss_to]) == r"g\o<od>"
 
 
+def test_chat_events_of_messages(spark):
+    text = "a <b> " * 20000
+    events = [
+        (1, 1, 1, "message", "user", "hello"), (1, 2, 1, "edit", "user", "bye"), (1, 3, 2, "message", "assistant", "bad"), (1, 4, 2, "regenerate", "assistant", None), (1, 5, 2, "delta", "assistant", "go"), (1, 6, 2, "delta", "assistant", "od"),
+        (1, 7, 1, "edit", "user", "see you"), (2, 1, 5, "message", "user", "x"), (2, 1, 5, "message", "user", "x"), (2, None, None, None, "system", "s"), (2, 3, 6, "edit", None, text), (2, 4, 7, "delta", "user", "b"), (2, 4, 8, "delta", "user", "a"),
+        (3, 1, 1, "delta", "assistant", "1"), (3, 1, 1, "message", "assistant", "0"), (3, 1, 1, "regenerate", "assistant", "x"), (3, 1, 1, "edit", "assistant", "e"),
+    ]
+    df = spark.createDataFrame(events, "conv_id long, seq long, msg long, kind string, role string, text string").withColumns({"turn_no": F.lit("x"), "formatted": F.lit("x")})
+    got: dict = {}
+    for r in chat.format_chats(df).orderBy("conv_id", "turn_no").collect():
+        got.setdefault(r.conv_id, []).extend(chat.parse(r.formatted))
+    assert got == {1: [("user", "see you"), ("assistant", "good")], 2: [("system", "s"), ("user", "x"), ("user", "x"), ("", text), ("user", "a"), ("user", "b")], 3: [("assistant", "e1")]}
+    assert chat.format_chats(df.limit(0)).count() == 0 and chat.digests(chat.format_chats(df.limit(0))).count() == 0
+
+
+def test_chat_logs_of_rows(spark):
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "y" * 1000), (1, 1, "assistant", "y" * 1000), (1, 1, "assistant", "<" * 300), (1, 1, None, None), (None, None, "user", ""), (2, 5, "assistant", None), (2, 5, "assistant", "z" * 256)]
+    log = chat.from_rows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert {r.kind for r in log.collect()} == set(chat.KINDS)
+    got = [(r.conv_id, r.seq, chat.unescape(r.role), chat.unescape(r.text)) for r in chat.fold(log).collect()]
+    assert sorted(got, key=str) == sorted(((c, t, r or "", x or "") for c, t, r, x in rows), key=str)
+
+
 def test_urls(spark):
     rows = [(1, "http://A.example.COM/en/7x?q"), (2, None), (3, "no scheme"), (4, "x://com"), (5, "https://example.net/de/89"), (6, "h://net/de/"), (6, "h://net/de/"), (7, "h://notcom/en/"), (8, "h://example.com/en/8#f")]
     got = {r.page_id: (r.rule, r.verdict) for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), queries.RULES).collect()}
@@ -188,10 +211,37 @@ def test_urls(spark):
 
 
 def test_cascade_is_exact(spark):
-    names = [f"k{i}" for i in range(3000)]
-    cascade = urls.build(names[:500], spark.createDataFrame([(n,) for n in names], "key string"), bits_per_key=2)
-    assert len(cascade.levels) > 2
-    assert list(cascade.member(urls._hashes(pa.array(names)))) == [True] * 500 + [False] * 2500
+    names = [f"k{i}" for i in range(30000)]
+    universe = spark.createDataFrame([(n,) for n in names], "key string")
+    for n in (500, 3, 0):
+        cascade = urls.build(names[:n], universe, len(names))
+        assert list(cascade.member(urls._hashes(pa.array(names)))) == [True] * n + [False] * (len(names) - n)
+    cascade = urls.build(names[:500], universe, len(names))
+    print(len(cascade.levels), "levels of", [f.m for f in cascade.levels], "bits")
+    assert len(cascade.levels) > 2 and sum(f.m for f in cascade.levels) < 500 * 16
+
+
+def test_urls_of_other_tables(spark):
+    assert urls.judge(spark.createDataFrame([], "page_id long, url string"), queries.RULES).count() == 0
+    rows = [(1, "h://" + "a." * 20000 + "com/en/" + "x" * 50000, "r", "v"), (2, "h://com", "r", "v"), (2, "h://com", "r", "v"), (3, "h:///en/", "r", "v"), (4, "h://" + "com" * 9000, None, None)]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string, rule string, keys string"), queries.RULES)
+    assert got.columns == ["page_id", "host", "path", "rule", "verdict"]
+    assert sorted((r.page_id, str(r.rule), r.verdict) for r in got.collect()) == [(1, "com/en/", "block"), (2, "None", "allow"), (2, "None", "allow"), (3, "None", "allow"), (4, "None", "allow")]
+
+
+def test_urls_by_brute_force_of_many_rules(spark):
+    r = np.random.default_rng(8)
+    hosts = [".".join(r.choice(["a", "b", "c", "d"], int(r.integers(1, 5)))) for _ in range(400)]
+    paths = ["/" + "/".join(r.choice(["p", "q"], int(r.integers(0, 5)))) for _ in range(400)]
+    rules = {(hosts[i], paths[i]): ("allow", "block")[i % 2] for i in range(120)}
+    pages = [(i, f"x://{h}{p}") for i, (h, p) in enumerate(zip(hosts[::-1], paths, strict=True))]
+    want = {}
+    for i, u in pages:
+        host, path = u[4:].split("/", 1)[0], u[4 + len(u[4:].split("/", 1)[0]) :]
+        fit = [(len(h + p), len(h), h + p, a) for (h, p), a in rules.items() if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        want[i] = max(fit)[2:] if fit else (None, "allow")
+    got = urls.judge(spark.createDataFrame(pages, "page_id long, url string"), [(h, p, a) for (h, p), a in rules.items()]).collect()
+    assert {x.page_id: (x.rule, x.verdict) for x in got} == want
 
 
 def test_top_k_edge_cases(spark):

@@ -1,9 +1,9 @@
 r"""Op 8: chat formatting by event-sourced reconstruction.
 
-Events (conv_id, seq, msg, kind, role, text) are dealt by conversation and message, sorted by seq and folded:
-`message` is a whole message of its own; `delta` appends to message msg; `edit` replaces its text; `regenerate` empties
-it, so that later deltas build it anew. A message has the place and role of its first event. Messages are then dealt by
-conversation, sorted, and rendered one by one:
+Events (conv_id, seq, part, msg, kind, role, text) are dealt by conversation and message, sorted by seq and part and folded:
+`message` opens a message with a text; `delta` appends to the text of the message that is open under its msg; `edit` replaces
+the text; `regenerate` empties it, so that later deltas build it anew. Any of these opens a message where none is open. A message
+has the place and role of the event that opened it. Messages are then dealt by conversation, sorted, and rendered one by one:
 
     <turn ROLE>\nTEXT</turn>\n
 
@@ -12,9 +12,10 @@ turn of the role `assistant` is under the loss mask: [loss_from, loss_to) in cod
 Both passes stream over sorted rows, so a conversation with a third of all rows needs no more memory than a short one;
 escaping happens in the first pass, which splits that conversation by message.
 
-Null roles and texts are empty; null conv_ids are one conversation; null seqs come first; a null kind is `message`.
-Ties in seq are ordered by message, role and text; repeated rows of kind `message` are turns of their own. Extra columns
-are left out. An empty table gives no rows.
+Null roles and texts are empty; null conv_ids are one conversation; null seqs come first; a null part is 0, a null msg is the seq,
+a null kind is `message`. Events of one message with equal seq and part are taken in the order message, regenerate, edit, delta;
+messages of equal seq in the order of role and text as escaped. Repeated rows of kind `message` are turns of their own. Extra
+columns are left out. An empty table gives no rows. Long texts are rows as any other. `from_rows` makes such a log of whole turns.
 """
 
 from __future__ import annotations
@@ -23,10 +24,14 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 OPEN, MIDDLE, CLOSE = "<turn ", ">\n", "</turn>\n"
+#: Kinds of events, as they are taken at one place of a log.
+KINDS = ["message", "regenerate", "edit", "delta"]
+#: Characters of a streamed piece in `from_rows`.
+PIECE = 256
 
 
 def escape(text: str) -> str:
@@ -59,27 +64,23 @@ def fold(events: DataFrame) -> DataFrame:
 
     def messages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         key, first, parts = None, None, []
-        for conv, msg, seq, kind, role, text in _rows(batches):
-            if kind == "message":
-                yield conv, seq, msg, escape(role), escape(text)
-                continue
-            if key != (conv, msg):
+        for conv, msg, seq, _, kind, role, text in _rows(batches):
+            if kind == KINDS.index("message") or key != (conv, msg):
                 if first:
                     yield (*first, escape("".join(parts)))
                 key, first, parts = (conv, msg), (conv, seq, msg, escape(role)), []
-            if kind != "delta":
+            if kind != KINDS.index("delta"):
                 parts = []
-            if kind != "regenerate":
+            if kind != KINDS.index("regenerate"):
                 parts.append(text)
         if first:
             yield (*first, escape("".join(parts)))
 
     empty = lambda c: F.coalesce(F.col(c), F.lit(""))
-    dealt = events.select(
-        F.col("conv_id").cast("long"), F.coalesce("msg", "seq").cast("long").alias("msg"), F.col("seq").cast("long"),
-        F.coalesce("kind", F.lit("message")).alias("kind"), empty("role").alias("role"), empty("text").alias("text"),
-    )
-    dealt = dealt.repartition("conv_id", "msg").sortWithinPartitions("conv_id", "msg", "seq", "kind", "role", "text")
+    part = F.coalesce(F.col("part").cast("int"), F.lit(0)) if "part" in events.columns else F.lit(0)
+    kind = F.array_position(F.array(*map(F.lit, KINDS)), F.coalesce("kind", F.lit("message"))).cast("int") - 1
+    dealt = events.select(F.col("conv_id").cast("long"), F.coalesce("msg", "seq").cast("long").alias("msg"), F.col("seq").cast("long"), part.alias("part"), kind.alias("kind"), empty("role").alias("role"), empty("text").alias("text"))
+    dealt = dealt.repartition("conv_id", "msg").sortWithinPartitions("conv_id", "msg", "seq", "part", "kind", "role", "text")
     return dealt.mapInArrow(lambda b: _batches(messages(b), schema), "conv_id long, seq long, msg long, role string, text string")
 
 
@@ -97,7 +98,7 @@ def render(messages: DataFrame) -> DataFrame:
             yield conv, no, head + text + CLOSE, start, start + (len(text) if role == "assistant" else 0)
             no, at = no + 1, start + len(text) + len(CLOSE)
 
-    dealt = messages.repartition("conv_id").sortWithinPartitions("conv_id", "seq", "msg", "role", "text")
+    dealt = messages.repartition("conv_id").sortWithinPartitions("conv_id", "seq", "role", "text", "msg")
     return dealt.mapInArrow(lambda b: _batches(turns(b), schema), "conv_id long, turn_no long, formatted string, loss_from long, loss_to long")
 
 
@@ -143,6 +144,13 @@ def digests(formatted: DataFrame) -> DataFrame:
 
 
 def from_rows(conversations: DataFrame) -> DataFrame:
-    """Events of a table of whole turns (conv_id, turn, role, text)."""
-    kind: Column = F.lit("message")
-    return conversations.select("conv_id", F.col("turn").alias("seq"), F.col("turn").alias("msg"), kind.alias("kind"), "role", "text")
+    """The log behind a table of whole turns (conv_id, turn, role, text), one message a row: an assistant's text was streamed in pieces after
+    a first answer that was regenerated, others' were sent and then edited to what they are. Names of messages are of this run only."""
+    text, n = F.coalesce("text", F.lit("")), F.length(F.coalesce("text", F.lit("")))
+    event = lambda part, kind, t: F.struct(part.cast("int").alias("part"), F.lit(kind).alias("kind"), t.alias("text"))
+    pieces = F.transform(F.sequence(F.lit(0), F.ceil(n / PIECE).cast("int")), lambda i: event(i + 2, "delta", F.substring(text, i * PIECE + 1, F.lit(PIECE))))
+    answered = F.concat(F.array(event(F.lit(0), "message", F.substring(text, F.lit(1), (n / 2).cast("int"))), event(F.lit(1), "regenerate", F.lit(""))), pieces)
+    sent = F.array(event(F.lit(0), "message", F.reverse(F.substring(text, F.lit(1), F.lit(PIECE)))), event(F.lit(1), "edit", text))
+    rows = conversations.select("conv_id", F.col("turn").alias("seq"), "role", "text").withColumn("msg", F.monotonically_increasing_id())
+    rows = rows.select("conv_id", "seq", "msg", "role", F.explode(F.when(F.col("role") == "assistant", answered).otherwise(sent)).alias("e"))
+    return rows.select("conv_id", "seq", "e.part", "msg", "e.kind", "role", "e.text")

@@ -77,6 +77,8 @@ _SIZED = {n: [len(licenses.bigrams(t)) for t in ts] for n, ts in licenses.TEMPLA
 _LEAST, _MOST = min(map(min, _SIZED.values())) * 0.9 / 1.1, max(map(max, _SIZED.values())) * 1.1 / 0.9
 _QUOTED = ", ".join(f"('{n}', '{t.replace(chr(39), chr(39) * 2)}')" for n, ts in licenses.TEMPLATES.items() for t in ts)
 
+_ESCAPED = r"replace(replace(replace({c}, '\', '\e'), '<', '\l'), '>', '\g')"
+
 ORACLE: dict[str, str] = {
     "op1_licenses": f"""
 WITH t0(name, text) AS (VALUES {_QUOTED}),
@@ -103,12 +105,12 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_re
 FROM w LEFT JOIN l USING (r) LEFT JOIN k USING (r)""",
     "op4_urls": r"""
 WITH r(h, p, verdict) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
-cut AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
-hosts AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM cut),
-ok AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM hosts),
-fit AS (SELECT page_id, host, path, h || p AS rule, verdict FROM ok LEFT JOIN r ON (host = h OR suffix(host, '.' || h)) AND starts_with(path, p))
+cut AS (SELECT row_number() OVER () AS r, page_id, CASE WHEN url LIKE '%://%' THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+hosts AS (SELECT r, page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM cut),
+ok AS (SELECT hosts.r, page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM hosts),
+fit AS (SELECT ok.r, page_id, host, path, h || p AS rule, verdict FROM ok LEFT JOIN r ON (host = h OR suffix(host, '.' || h)) AND starts_with(path, p))
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fit
-QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC NULLS LAST) = 1""",
+QUALIFY row_number() OVER (PARTITION BY r ORDER BY length(rule) DESC NULLS LAST) = 1""",
     "op5_topk": """
 WITH v AS (SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS q FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -134,14 +136,14 @@ u AS (SELECT doc_id, source, text, ('0x' || substr(md5('7:' || coalesce(doc_id::
 c AS (SELECT doc_id, u.source, any_value(text) AS text, count(*) FILTER (c <= u) AS n_copies FROM u JOIN p ON u.source IS NOT DISTINCT FROM p.source GROUP BY ALL),
 e AS (SELECT doc_id, source, text, n_copies, unnest(range(0, n_copies)) AS copy FROM c)
 SELECT doc_id, source, copy, n_copies, ('0x' || substr(md5('8:' || coalesce(doc_id::VARCHAR, 'null') || ':' || copy::VARCHAR), 1, 13))::BIGINT / {float(1 << 52)!r}::DOUBLE AS place, sha256(coalesce(text, '')) AS text_sha256 FROM e""",
-    "op8_chat": r"""
+    "op8_chat": rf"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT * FROM (VALUES (-7::BIGINT, 0::BIGINT, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')))
 SELECT conv_id, count(*) AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, {_ESCAPED.format(c='role')}, {_ESCAPED.format(c='text')})) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, {_ESCAPED.format(c='role')}, {_ESCAPED.format(c='text')}) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(16 + length(role) + length(text) + length(regexp_replace(role || text, '[^\\<>]', '', 'g')))::BIGINT AS formatted_chars
 FROM t GROUP BY conv_id""",
     "op9_capfilters": """
