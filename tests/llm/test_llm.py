@@ -252,6 +252,28 @@ def test_top_k_edge_cases(spark):
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    rows = [(0, [70000.0, 1.0]), (1, [70000.0, 2.0]), (2, [1.0, 0.0]), (50, [1e15, -3.0]), (3, [-2e15, 5.0]), (4, [1e300, 0.0]), (5, [-1e300, 0.0]), (6, [1e308, 0.0]), (7, [1.5, 1.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"score": F.lit("x"), "rank": F.lit("x"), "ids": F.lit(1)})
+    whole = {i: [int(256 * x // 1) for x in v] for i, v in rows if i != 6}  # which overflows by the scale
+    for k in (2, 9):
+        got = {}
+        for r in topk.top_k(df, df.filter("vec_id % 50 = 0"), k).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        for q in (0, 50):
+            best = sorted(((-min(max(sum(a * b for a, b in zip(whole[q], v, strict=True)), topk.NONE + 1), -topk.NONE - 1), i) for i, v in whole.items() if i != q))[:k]
+            assert got[q] == [(i, -s) for s, i in best]
+
+
+def test_cap_filters_of_other_tables(spark):
+    rows = [(1, [1.0, 0.0], 1.2), (2, [1.0, 0.0], 1.9), (3, [1.0, 0.0], 1.2), (3, [1.0, 0.0], 1.2), (4, [1.0, 0.01], 1.9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label double").withColumns({"cap": F.lit("x"), "node": F.lit("x"), "n_links": F.lit("x"), "v": F.lit("x")})
+    got = sorted(tuple(r) for r in capfilters.near_vectors(df).collect())
+    assert got == [(1, 2, 1, True), (2, 1, 2, True), (3, 2, 1, False), (3, 2, 1, False), (4, 1, 2, False)]
+    text = capfilters.near_vectors(df.withColumn("label", F.concat(F.lit("l"), F.col("label"))))
+    assert sorted(tuple(r) for r in text.collect()) == got and capfilters.near_vectors(df.limit(0)).count() == 0
+
+
 def test_top_k_prunes():
     r = np.random.default_rng(2)
     blocks = [(np.arange(i * 50, i * 50 + 50), (r.integers(-20, 20, (50, 16)) + 40 * (i % 4)).astype(np.int32)) for i in range(20)]

@@ -13,8 +13,8 @@ precision). A cap of more than TILE classes is cut to tiles of two chunks.
 
 Vectors that are null, empty, zero, or hold null or non-finite components, rows with a null label and rows with a null vec_id
 link with nothing: n_links 0, component_id vec_id, kept. Vectors of unequal length don't link. Repeated rows are other vectors;
-a vec_id names one vector.
-Other columns are left out. An empty table gives no rows.
+a vec_id names one vector. Labels of any type are equal if their texts are.
+Other columns are left out, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -105,7 +105,7 @@ def _capped(kind: str):
                 own = [i for i, d in enumerate(dims) if d == dim]
                 caps = decode(_unit(np.frombuffer(b"".join(v[i] for i in own), kind).reshape(-1, dim).astype(np.float64)))
                 n = [len(c) for c in caps]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat([label[i] for i in own], n)), pa.array(np.full(sum(n), dim, np.int32)), pa.array(np.concatenate(caps)), pa.array(np.repeat([node[i] for i in own], n))], ["label", "dim", "cap", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat([label[i] for i in own], n).tolist(), pa.string()), pa.array(np.full(sum(n), dim, np.int32)), pa.array(np.concatenate(caps)), pa.array(np.repeat([node[i] for i in own], n))], ["label", "dim", "cap", "node"])
 
     return run
 
@@ -174,13 +174,13 @@ def _verified(threshold: float, kind: str):
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row of vectors (vec_id, embedding, label)."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label").cast("long").alias("label"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label").cast("string").alias("label"))
     kind = "f4" if "array<float>" in dict(vectors.dtypes)["embedding"] else "f8"
-    units = materialize(rows.mapInArrow(_units(kind), "vec_id long, label long, dim int, v binary"), "units")
+    units = materialize(rows.mapInArrow(_units(kind), "vec_id long, label string, dim int, v binary"), "units")
     classes = units.filter("v is not null").groupBy("label", "dim", "v").agg(F.min("vec_id").alias("node"), F.count("*").alias("count"))
     classes = materialize(classes, "vectors")
     key = ["label", "dim", "cap"]
-    capped = classes.select("label", "dim", "node", "v").mapInArrow(_capped(kind), "label long, dim int, cap int, node long")
+    capped = classes.select("label", "dim", "node", "v").mapInArrow(_capped(kind), "label string, dim int, cap int, node long")
     capped = materialize(capped.withColumn("size", F.count("*").over(Window.partitionBy(*key))).filter("size > 1"), "caps")
     lists = capped.groupBy("node").agg(F.sort_array(F.collect_list("cap")).alias("caps"))
     tiled = capped.withColumn("chunks", F.ceil(F.col("size") / TILE).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))

@@ -8,9 +8,10 @@ through the blocks by falling bound and scores whole blocks until the next bound
 Queries are cut to chunks of CHUNK and blocks to parts; a task has one chunk and one part, so each row is read once for each
 chunk, and no task holds more than a chunk and a part. A query's best k of each part meet in a window by query.
 
-Components become floor(scale * x), x as double; scores are exact integers (64 bits). Vectors that are null, or hold null or
-non-finite components, or whose component is 2^24 or more times 1/scale, take no part, nor do rows with a null vec_id; only
-vectors of equal length are compared. A row's own vec_id is no candidate, so repeated rows don't find themselves; they do
+Components become floor(scale * x), x as double, however large; scores are exact integers, those
+beyond 64 bits the nearest of NONE + 1 to -NONE - 1, and ranked as such. Vectors that are null or empty, or hold null or non-finite components, or components that
+are not finite after scaling, take no part, nor do rows with a null vec_id; only vectors of equal length are compared. Columns
+other than vec_id and embedding are left out, whatever their names. A row's own vec_id is no candidate, so repeated rows don't find themselves; they do
 occur as often as they stand for other queries. Ties go to the smaller vec_id. No queries or no candidates give no rows.
 """
 
@@ -18,6 +19,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import operator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -28,7 +31,7 @@ from .store import materialize, scaled
 BLOCK, CHUNK = 256, 1024
 PART_BYTES, LEAST_PARTS = 32 << 20, 24
 #: Below every score.
-NONE = -(1 << 62)
+NONE = 1 - (1 << 63)
 #: Chunks are rows of two numbers; so many are broadcast (under 50 MB).
 MOST_CHUNKS = 1_000_000
 PACKED = "dim int, ids binary, rows binary"
@@ -55,40 +58,53 @@ def matrices(b: pa.RecordBatch, column: int, ids: int) -> Iterator[tuple[int, np
 
 def _packed(scale: float, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+        held: dict[tuple[int, str], list] = {}  # by length and number type: 4 bytes where components fit, else doubles
 
-        def send(dim: int, all_of_it: bool) -> Iterator[pa.RecordBatch]:
-            ids, rows = (np.concatenate(x) for x in zip(*held[dim], strict=True))
+        def send(key: tuple[int, str], all_of_it: bool) -> Iterator[pa.RecordBatch]:
+            dim, (ids, rows) = key[0], (np.concatenate(x) for x in zip(*held[key], strict=True))
             stop = len(ids) if all_of_it else len(ids) // most * most
             for i in range(0, stop, most):
                 j = min(i + most, stop)
                 yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([ids[i:j].tobytes()]), pa.array([rows[i:j].tobytes()])], ["dim", "ids", "rows"])
-            held[dim] = [(ids[stop:], rows[stop:])]
+            held[key] = [(ids[stop:], rows[stop:])]
 
         for b in batches:
             for dim, ids, x in matrices(b, 1, 0):
-                x = np.floor(scale * x)
-                fits = (np.abs(x) < 1 << 24).all(axis=1)
-                held.setdefault(dim, []).append((ids[fits], x[fits].astype(np.int32)))
-                yield from send(dim, False)
-        for dim in list(held):
-            yield from send(dim, True)
+                with np.errstate(over="ignore"):
+                    x = np.floor(scale * x)
+                most_of = np.abs(x).max(axis=1)
+                for kind, some in (("i4", most_of < 1 << 24), ("f8", (most_of >= 1 << 24) & np.isfinite(most_of))):
+                    if some.any():
+                        held.setdefault((dim, kind), []).append((ids[some], x[some].astype(kind)))
+                        yield from send((dim, kind), False)
+        for key in list(held):
+            yield from send(key, True)
 
     return run
 
 
 def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of integer rows."""
-    if float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1] < 1 << 53:
+    """Exact inner products of rows of whole numbers; of Python's integers where they may not fit in 62 bits."""
+    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
+    if most < 1 << 53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a.astype(np.int64) @ b.astype(np.int64).T
+    if most < 1 << 62:
+        return a.astype(np.int64) @ b.astype(np.int64).T
+    whole = [[list(map(int, row)) for row in x.tolist()] for x in (a, b)]
+    return np.array([[sum(map(operator.mul, x, y)) for y in whole[1]] for x in whole[0]], object).reshape(len(a), len(b))
+
+
+def _long(x: np.ndarray) -> np.ndarray:
+    """Numbers beyond 64 bits as the nearest long above NONE."""
+    return np.clip(x, NONE + 1, -NONE - 1).astype(np.int64) if x.dtype == object else x
 
 
 def search(queries: np.ndarray, own: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """(ids, scores) of each query's best k over blocks of (ids, rows), best first, padded with the least score; and how many (query, block) pairs were scored."""
-    ids, scores, scored = np.zeros((len(queries), k), np.int64), np.full((len(queries), k), NONE), 0
+    """(ids, scores) of each query's best k over blocks of (ids, rows), best first, padded with the score NONE; and how many (query, block) pairs were scored."""
     up, down = np.stack([r.max(axis=0) for _, r in blocks]), np.stack([r.min(axis=0) for _, r in blocks])
     bound = _dot(np.maximum(queries, 0), up) + _dot(np.minimum(queries, 0), down)
+    bound = _long(bound)
+    ids, scores, scored = np.zeros((len(queries), k), np.int64), np.full((len(queries), k), NONE), 0
     order = np.argsort(-bound, axis=1, kind="stable")
     active = np.arange(len(queries))
     for turn in range(len(blocks)):
@@ -101,7 +117,7 @@ def search(queries: np.ndarray, own: np.ndarray, blocks: list[tuple[np.ndarray,
         for block in np.unique(which):
             mine = active[which == block]
             names, rows = blocks[block]
-            new = _dot(queries[mine], rows)
+            new = _long(_dot(queries[mine], rows))
             new[names[None] == own[mine, None]] = NONE
             all_ids = np.concatenate([ids[mine], np.broadcast_to(names, new.shape)], axis=1)
             all_scores = np.concatenate([scores[mine], new], axis=1)
@@ -126,7 +142,8 @@ def _searched(k: int):
         if not queries.num_rows or not blocks.num_rows:
             return FOUND.empty_table()
         dim = key[0].as_py()
-        unpack = lambda t: [(np.frombuffer(i.as_py(), np.int64), np.frombuffer(r.as_py(), np.int32).reshape(-1, dim)) for i, r in zip(t.column("ids"), t.column("rows"))]  # noqa: E731, B905
+        kind = lambda i, r: np.int32 if 2 * len(r) == dim * len(i) else np.float64
+        unpack = lambda t: [(np.frombuffer(i, np.int64), np.frombuffer(r, kind(i, r)).reshape(-1, dim)) for i, r in zip(t.column("ids").to_pylist(), t.column("rows").to_pylist())]  # noqa: E731, B905
         asked = unpack(queries)
         own, rows = np.concatenate([x[0] for x in asked]), np.concatenate([x[1] for x in asked])
         ids, scores, _ = search(rows, own, unpack(blocks), k)
