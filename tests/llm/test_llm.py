@@ -49,6 +49,35 @@ def test_oracle(spark, name):
     assert show(mine.columns, [tuple(r) for r in mine.collect()]) == show(names, theirs.fetchall())
 
 
+def of_sql(name, **tables):
+    con = duckdb.connect()
+    for k, (columns, values) in tables.items():
+        con.execute(f"CREATE TABLE {k} ({columns})")
+        con.executemany(f"INSERT INTO {k} VALUES ({', '.join('?' * (columns.count(',') + 1))})", values)
+    return con.execute(queries.ORACLE[name]).fetchall()
+
+
+def test_mixing_sql_of_a_small_source(spark, tmp_path):
+    rows = [(i, "few" if i < 3 else None if i < 5 else "rest", f"t{i}") for i in range(6000)] + [(7, "rest", "t7")]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op7_mixing(spark, str(tmp_path)).select("doc_id", "source", "copy", "n_copies", "place", "text_sha256").collect()
+    assert max(r.n_copies for r in got) > 40
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, of_sql("op7_mixing", documents=("doc_id BIGINT, source VARCHAR, text VARCHAR", rows))))
+
+
+def test_licenses_sql_of_runs(spark):
+    fill = " ".join(f"w{i}" for i in range(30))
+    notices = [t for ts in licenses.TEMPLATES.values() for t in ts]
+    wrapped = [f"{fill}\n" + "\n".join(textwrap.wrap(t, 25)) + f"\n{fill}" for t in notices]
+    r = np.random.default_rng(3)
+    mixed = ["\n".join(f"{fill[: int(r.integers(0, 90))]} {notices[int(r.integers(len(notices)))]} {' '.join(textwrap.wrap(notices[int(r.integers(len(notices)))], 30)[1:])}" for _ in range(4)) for _ in range(20)]
+    texts = [*notices, *wrapped, *mixed, (notices[0] + " ") * 30, "\n".join([notices[-1]] * 3), " ".join(notices), "\n".join(notices), "the of and " * 500, None, "", fill]
+    rows = list(enumerate(texts)) + [(0, notices[0])]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "license", "dice", "n_units").collect()
+    show = lambda values: sorted((i, str(n), round(d, 9), k) for i, n, d, k in values)
+    assert show(tuple(x) for x in got) == show(of_sql("op1_licenses", documents=("doc_id BIGINT, text VARCHAR", rows)))
+
+
 def test_substrings_brute_force(spark, docs, empty):
     known, want = {}, []
     rows = [(i, (t or "").split()) for i, t in TEXTS]

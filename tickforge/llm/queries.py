@@ -73,8 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": op10_bpe,
 }
 
-_SIZED = {n: [len(licenses.bigrams(t)) for t in ts] for n, ts in licenses.TEMPLATES.items()}
-_LEAST, _MOST = min(map(min, _SIZED.values())) * 0.9 / 1.1, max(map(max, _SIZED.values())) * 1.1 / 0.9
+_LOW, _HIGH = 0.9 / 1.1, 1.1 / 0.9  # of a template's size: the sizes of sets that can match it
 _QUOTED = ", ".join(f"('{n}', '{t.replace(chr(39), chr(39) * 2)}')" for n, ts in licenses.TEMPLATES.items() for t in ts)
 
 _ESCAPED = r"replace(replace(replace({c}, '\', '\e'), '<', '\l'), '>', '\g')"
@@ -83,15 +82,30 @@ ORACLE: dict[str, str] = {
     "op1_licenses": f"""
 WITH t0(name, text) AS (VALUES {_QUOTED}),
 tw AS (SELECT name, row_number() OVER () AS tid, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM t0),
-tb AS (SELECT name, tid, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS b FROM tw),
-lines AS (SELECT doc_id, [regexp_extract_all(translate(x, '{licenses.UPPER}', '{licenses.LOWER}'), '[a-z0-9]+') FOR x IN string_split(coalesce(text, ''), chr(10))] AS ws FROM documents),
-units AS (SELECT doc_id, unnest(CASE WHEN len(ws) > 1 THEN list_concat(ws, [flatten(ws)]) ELSE ws END) AS w FROM lines),
-numbered AS (SELECT row_number() OVER () AS uid, * FROM units WHERE len(w) - 1 BETWEEN {_LEAST!r} AND {2 * _MOST!r}),
-sets AS (SELECT doc_id, uid, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS b FROM numbered),
-scored AS (SELECT doc_id, uid, name, 2.0::DOUBLE * len(list_intersect(s.b, tb.b)) / (len(s.b) + len(tb.b)) AS dice FROM sets s, tb WHERE len(tb.b) BETWEEN len(s.b) * {0.9 / 1.1!r} AND len(s.b) * {1.1 / 0.9!r}),
-hits AS (SELECT * FROM scored WHERE dice >= 0.9),
-best AS (SELECT doc_id, arg_min(name, (-dice, name)) AS license, max(dice) AS dice, count(DISTINCT uid) AS n_units FROM hits GROUP BY doc_id)
-SELECT d.doc_id, license, coalesce(dice, 0.0::DOUBLE) AS dice, coalesce(n_units, 0) AS n_units FROM documents d LEFT JOIN best USING (doc_id)""",
+tb AS (SELECT name, tid, b, len(b) AS n, ceil(len(b) * {_LOW!r} - 1e-9)::BIGINT AS need, floor(len(b) * {_HIGH!r} + 1e-9)::BIGINT AS most
+  FROM (SELECT name, tid, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS b FROM tw)),
+lines AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, [regexp_extract_all(translate(x, '{licenses.UPPER}', '{licenses.LOWER}'), '[a-z0-9]+') FOR x IN string_split(coalesce(text, ''), chr(10))] AS ws FROM documents),
+units AS (SELECT r, unnest(CASE WHEN len(ws) > 1 THEN list_concat(ws, [flatten(ws)]) ELSE ws END) AS w, generate_subscripts(CASE WHEN len(ws) > 1 THEN list_concat(ws, [flatten(ws)]) ELSE ws END, 1) AS u FROM lines),
+sets AS (SELECT r, u, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS b FROM units WHERE len(w) > 1),
+scored AS (SELECT r, u, name, 2.0::DOUBLE * len(list_intersect(s.b, tb.b)) / (len(s.b) + n) AS dice FROM sets s, tb WHERE n BETWEEN len(s.b) * {_LOW!r} AND len(s.b) * {_HIGH!r}),
+judged AS (SELECT r, u, min((-dice, name)) AS best FROM scored WHERE dice >= 0.9 GROUP BY ALL),
+left_of AS (SELECT r, list(w ORDER BY u) AS ws FROM (SELECT units.r, units.u, CASE WHEN best IS NULL THEN w ELSE [NULL FOR x IN w] END AS w
+  FROM units JOIN lines ON units.r = lines.r AND u <= len(ws) LEFT JOIN judged ON judged.r = units.r AND judged.u = units.u)
+  WHERE r NOT IN (SELECT judged.r FROM judged JOIN lines ON judged.r = lines.r WHERE len(ws) > 1 AND u > len(ws)) GROUP BY r),
+rest AS (SELECT r, flatten(ws) AS w FROM left_of),
+grams AS (SELECT r, unnest([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS g, unnest(range(1, len(w))) AS i FROM rest WHERE len(w) > 1),
+hits AS (SELECT r, tid, i, row_number() OVER (PARTITION BY r, tid ORDER BY i) AS k FROM grams JOIN (SELECT tid, unnest(b) AS g FROM tb) USING (g)),
+spans AS (SELECT a.r, a.tid, a.i AS a, e.i AS e FROM hits a JOIN tb ON a.tid = tb.tid JOIN hits e ON e.r = a.r AND e.tid = a.tid AND e.i >= a.i AND e.i < a.i + most WHERE e.k - a.k + 1 >= need),
+measured AS (SELECT spans.r, name, tb.tid, a, e, tb.b, n, list_distinct(list_filter([w[i] || ' ' || w[i + 1] FOR i IN range(a, e + 1)], lambda x: x IS NOT NULL)) AS s,
+  (len(list_filter([w[i] || ' ' || w[i + 1] FOR i IN range(a, e + 1)], lambda x: x IS NULL)) > 0)::INT AS blank FROM spans JOIN tb ON spans.tid = tb.tid JOIN rest ON rest.r = spans.r),
+runs AS (SELECT r, name, tid, a, min((-dice, e)) AS best FROM (SELECT *, 2.0::DOUBLE * len(list_intersect(s, b)) / (len(s) + blank + n) AS dice FROM measured) WHERE dice >= 0.9 GROUP BY ALL),
+sorted AS (SELECT r, list({{'n': 1, 'm': best[1], 'a': a, 'e': best[2]}} ORDER BY a, best[1], best[2]) AS l FROM runs GROUP BY r),
+counted AS (SELECT r, list_reduce(l, lambda s, x: CASE WHEN x.a > s.e THEN {{'n': s.n + 1, 'm': x.m, 'a': x.a, 'e': x.e}} WHEN x.m < s.m THEN {{'n': s.n, 'm': x.m, 'a': x.a, 'e': x.e}} ELSE s END).n AS n FROM sorted),
+found AS (SELECT r, best[1] AS minus, best[2] AS name FROM judged UNION ALL SELECT r, best[1], name FROM runs),
+best AS (SELECT r, min((minus, name)) AS best FROM found GROUP BY r),
+whole AS (SELECT r, count(*) AS n FROM judged GROUP BY r)
+SELECT doc_id, best[2] AS license, coalesce(-best[1], 0.0::DOUBLE) AS dice, (coalesce(whole.n, 0) + coalesce(counted.n, 0))::BIGINT AS n_units
+FROM lines LEFT JOIN best USING (r) LEFT JOIN whole USING (r) LEFT JOIN counted USING (r)""",
     "op2_substrings": r"""
 WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 x AS (SELECT r, doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM w WHERE len(w) >= 13),
@@ -130,11 +144,14 @@ SELECT doc_id, n::BIGINT AS n_shingles, min(reach) AS component_id, doc_id = min
     "op7_mixing": f"""
 WITH n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 w AS (SELECT source, n, pow(n::DOUBLE, 0.5) AS w FROM n),
-r AS (SELECT source, least({mixing.MEAN_MOST!r}, w / (SELECT sum(w) FROM w) * (SELECT sum(n) FROM n)::DOUBLE / n) AS rate FROM w),
-p AS (SELECT source, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS c FROM r, range(0, {mixing.PLACES + 1}) x(k)),
-u AS (SELECT doc_id, source, text, ('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / {float(1 << 52)!r}::DOUBLE AS u FROM documents),
-c AS (SELECT doc_id, u.source, any_value(text) AS text, count(*) FILTER (c <= u) AS n_copies FROM u JOIN p ON u.source IS NOT DISTINCT FROM p.source GROUP BY ALL),
-e AS (SELECT doc_id, source, text, n_copies, unnest(range(0, n_copies)) AS copy FROM c)
+r AS (SELECT source, w / (SELECT sum(w) FROM w) * (SELECT sum(n) FROM n)::DOUBLE / n AS rate FROM w),
+m AS (SELECT source, greatest(1, ceil(rate / {mixing.MEAN_MOST!r}))::BIGINT AS parts, rate / greatest(1, ceil(rate / {mixing.MEAN_MOST!r})) AS mean FROM r),
+p AS (SELECT source, k, sum(exp(-mean + k * ln(mean) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS c FROM m, range(0, {mixing.PLACES + 1}) x(k)),
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, documents.source, text, parts FROM documents JOIN m ON documents.source IS NOT DISTINCT FROM m.source),
+i AS (SELECT r, source, '7:' || coalesce(doc_id::VARCHAR, 'null') || CASE WHEN parts > 1 THEN ':' || i ELSE '' END AS t FROM (SELECT *, unnest(range(0, parts)) AS i FROM d)),
+u AS (SELECT r, source, ('0x' || substr(md5(t), 1, 13))::BIGINT / {float(1 << 52)!r}::DOUBLE AS u FROM i),
+c AS (SELECT r, count(*) FILTER (c <= u) AS n_copies FROM u JOIN p ON u.source IS NOT DISTINCT FROM p.source GROUP BY r),
+e AS (SELECT doc_id, source, text, n_copies, unnest(range(0, n_copies)) AS copy FROM d JOIN c USING (r))
 SELECT doc_id, source, copy, n_copies, ('0x' || substr(md5('8:' || coalesce(doc_id::VARCHAR, 'null') || ':' || copy::VARCHAR), 1, 13))::BIGINT / {float(1 << 52)!r}::DOUBLE AS place, sha256(coalesce(text, '')) AS text_sha256 FROM e""",
     "op8_chat": rf"""
 WITH t AS (
