@@ -381,6 +381,70 @@ def test_toxicity_learns(spark, docs, empty):
     assert toxicity.score(empty, labels.limit(0)).count() == 0
 
 
+def naive_logit(w, words):
+    """The network's logit of one window, place by place, in doubles; words are (bucket, n-gram buckets)."""
+    sigmoid, h = (lambda v: 1 / (1 + np.exp(-v))), toxicity._H
+    x = [np.concatenate([w["word"][b], np.mean([w["gram"][g] for g in grams], axis=0) if len(grams) else np.zeros(toxicity._DC)]) for b, grams in words]
+    states = []
+    for d in "fb":
+        state, out = np.zeros(h), [None] * len(x)
+        for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
+            g, u = x[t] @ w[f"W{d}"] + w[f"b{d}"], state @ w[f"U{d}"]
+            z, r = sigmoid(g[:h] + u[:h]), sigmoid(g[h : 2 * h] + u[h : 2 * h])
+            state = (1 - z) * np.tanh(g[2 * h :] + r * u[2 * h :]) + z * state
+            out[t] = state
+        states.append(out)
+    s = [np.concatenate(pair) for pair in zip(*states, strict=True)]
+    e = np.exp([np.tanh(v @ w["Wa"] + w["ba"]) @ w["va"] for v in s])
+    return float(sum(a * v for a, v in zip(e / e.sum(), s, strict=True)) @ w["wo"] + w["bo"][0])
+
+
+def test_toxicity_scores_by_brute_force(spark):
+    r = np.random.default_rng(6)
+    names = ["".join(r.choice(list("abcdeé😀"), int(r.integers(1, 9)))) for _ in range(90)]
+    texts = [" ".join(r.choice(names, n)) for n in (1, 2, 31, 32, 33, 57, 200)] + ["", "...", None, "A,b-c"]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(i, texts[i % len(texts)]) for i in range(60)], "doc_id long, text string")
+    net = toxicity.trained(docs, labels)
+    double = {k: v.astype(np.float64) for k, v in net.w.items()}
+    for got in toxicity.score(docs, labels).collect():
+        t = toxicity.Texts(pa.array([got.text], pa.string()))
+        index = t.index(np.arange(len(t.begin)))
+        assert set(index[index >= 0].tolist()) == set(t.word.tolist())
+        of = lambda k, t=t: (t.bucket[k], t.grams(np.array([k]))[0])
+        logits = [naive_logit(double, [of(k) for k in row if k >= 0]) for row in index]
+        assert abs(got.score - (1 / (1 + np.exp(-max(logits))) if logits else 0.0)) < 1e-4
+
+
+def test_toxicity_gradients_are_slopes():
+    r = np.random.default_rng(7)
+    net = toxicity.Network(1)
+    net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
+    inputs, index = r.standard_normal((6, toxicity._D)), np.array([[0, 1, 2, 3, -1], [5, 4, 0, 0, 1], [2, -1, -1, -1, -1]])
+    labels, weight = np.array([1.0, 0.0, 1.0]), np.array([1.0, 2.0, 0.5])
+
+    def loss():
+        x = net.forward(inputs, index)
+        return float((weight * (np.logaddexp(0, x) - labels * x)).sum() / weight.sum())
+
+    g, dx = net.gradients(inputs, index, labels, weight)
+    for k, table in [*((k, net.w[k]) for k in g), ("inputs", inputs)]:
+        slope = dx if k == "inputs" else g[k]
+        for at in zip(*(r.integers(0, n, 4) for n in table.shape), strict=True):
+            kept, table[at] = table[at], table[at] + 1e-3
+            up, table[at] = loss(), kept - 1e-3
+            down, table[at] = loss(), kept
+            assert abs((up - down) / 2e-3 - slope[at]) < 2e-3 * max(1, abs(slope[at])) , k
+
+
+def test_toxicity_takes_whole_long_texts(spark):
+    rows = [(i, "plain words here " * 5000 + ("zorq " if i % 2 else "calm ")) for i in range(1, 40)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    assert toxicity.trained(docs, labels) is not None  # 85,000 characters each
+    assert toxicity.trained(docs, labels, chars=50_000) is None
+    assert sum(len(x.text) for x in toxicity.sample(docs, labels, 3).collect()) == 6 * 85_005
+
+
 def test_windows_overlap_and_cover():
     text, start = toxicity.spans(np.array([0, 5, 32, 33, 100]))
     assert [list(start[text == t]) for t in range(5)] == [[], [0], [0], [0, 1], [0, 24, 48, 68]]

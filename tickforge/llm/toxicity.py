@@ -51,7 +51,7 @@ def _grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     left = np.repeat(n, n) - pos
     out = np.zeros((total, 3), np.int64) - 1
     h = np.zeros(total, np.uint64)
-    for k in range(5):
+    for k in range(min(5, total)):
         h[: total - k] = h[: total - k] * np.uint64(0x100000001B3) + chars[k:]
         if k >= 2:
             ok = left > k
