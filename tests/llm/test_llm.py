@@ -13,7 +13,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tickforge.llm import bpe, capfilters, chat, licenses, mixing, neardup, queries, substrings, topk, toxicity, urls
+from tickforge.llm import bpe, capfilters, chat, licenses, mixing, neardup, queries, store, substrings, topk, toxicity, urls
 from tickforge.llm.components import components
 from tickforge.llm.fmindex import FMIndex
 
@@ -168,6 +168,14 @@ def test_stage_keeps_rows_without_ids(spark):
     assert sorted(str(tuple(x)) for x in kept.collect()) == sorted(str(x) for x in rows[:5])
 
 
+def test_tables_can_be_cleared(spark):
+    made = store.materialize(spark.range(5), "five")
+    assert made.count() == 5
+    store.clear(spark)
+    with pytest.raises(Exception, match="NOT_EXIST|not exist"):
+        made.collect()
+
+
 def test_banding():
     assert neardup.banding(0.8) == (40, 6)
     assert all((1 - s**rows) ** bands <= neardup.MISSED for s in (0.05, 0.3, 0.5, 0.9, 1.0) for bands, rows in [neardup.banding(s)])

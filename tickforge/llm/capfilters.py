@@ -24,7 +24,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -181,7 +181,9 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     classes = materialize(classes, "vectors")
     key = ["label", "dim", "cap"]
     capped = classes.select("label", "dim", "node", "v").mapInArrow(_capped(kind), "label string, dim int, cap int, node long")
-    capped = materialize(capped.withColumn("size", F.count("*").over(Window.partitionBy(*key))).filter("size > 1"), "caps")
+    capped = materialize(capped, "decoded")
+    sizes = capped.groupBy(*key).agg(F.count("*").alias("size")).filter("size > 1")
+    capped = materialize(capped.join(sizes, key), "caps")
     lists = capped.groupBy("node").agg(F.sort_array(F.collect_list("cap")).alias("caps"))
     tiled = capped.withColumn("chunks", F.ceil(F.col("size") / TILE).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     tiled = tiled.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))

@@ -5,7 +5,8 @@ and empty bins are filled by optimal densification (each empty bin tries bins by
 until one is full). Bands of bins are hashed to buckets; their number follows the asked `similarity`, so that two sets just as
 similar share no bucket with probability MISSED at most: (1 - 0.8^6)^40 = 5e-6 with Jaccard similarity 0.8.
 
-Equal sets (128 bits of sums over the set, and its size) are one class, so copies make no pairs. A bucket gives a star: edges
+Equal sets (128 bits of sums over the set, and its size) are one class, so copies make no pairs. A bucket's centre and size come from
+partial aggregates and meet its classes in a join, which Spark splits where a bucket is large. A bucket gives a star: edges
 from one class to the others, whose texts are then compared in full; a bucket of at most SMALL classes gives all its pairs.
 One star cannot see links among its points, so a star with another centre follows for buckets that still hold several
 components, to points of other components only. Buckets that hold several components even then (by a common passage, say)
@@ -27,7 +28,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -241,10 +242,9 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, similarity: float = SIMIL
     one = known.groupBy("c1", "c2", "n_shingles").agg(F.min(F.struct("doc_id", "row_key")).alias("one"), F.first("bands").alias("bands"))
     classes = materialize(one.select("c1", "c2", "n_shingles", F.col("one.doc_id").alias("doc_id"), F.col("one.row_key").alias("node"), "bands"), "classes")
 
-    of_bucket = Window.partitionBy("bucket")
     placed = classes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
-    placed = placed.withColumn("centre", F.min(F.struct("node", "n")).over(of_bucket)).withColumn("size", F.count("*").over(of_bucket)).filter("size > 1")
-    members = materialize(placed.select("bucket", "node", "n", "size", F.col("centre.node").alias("centre"), F.col("centre.n").alias("nc")), "members")
+    groups = placed.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("centre"), F.count("*").alias("size")).filter("size > 1")
+    members = materialize(placed.join(groups, "bucket").select("bucket", "node", "n", "size", F.col("centre.node").alias("centre"), F.col("centre.n").alias("nc")), "members")
     texts = materialize(rows.join(members.select(F.col("node").alias("row_key")).distinct(), "row_key", "left_semi").select("row_key", "text"), "texts")
 
     stars = members.filter(F.col("size") > SMALL).select(F.col("centre").alias("u"), F.col("nc").alias("nu"), F.col("node").alias("v"), F.col("n").alias("nv"))
