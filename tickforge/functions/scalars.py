@@ -9,10 +9,15 @@ SCALE = 100_000_000
 
 
 def fixed8(text: Column) -> Column:
-    """Decimal text to a long scaled by 10^8; more than eight decimals are cut, not rounded."""
-    bare = F.regexp_replace(text, "^-", "")
-    digits = F.concat(F.split_part(bare, F.lit("."), F.lit(1)), F.rpad(F.substring(F.split_part(bare, F.lit("."), F.lit(2)), 1, 8), 8, "0"))
-    value = digits.cast("bigint")
+    """Decimal text to a long scaled by 10^8; more than eight decimals are cut, not rounded.
+
+    Only a leading minus, points and digits count: "1e5" is 15, "abc" and "" are 0, and decimals are those behind the last
+    point. Null for null, and where the digits don't fit in a long; never an error.
+    """
+    digits = F.regexp_replace(text, "[^0-9]", "")
+    decimals = F.length(F.regexp_replace(F.regexp_extract(text, r"\.([^.]*)$", 1), "[^0-9]", ""))
+    scaled = F.when(decimals <= 8, F.concat(F.lit("0"), digits, F.repeat(F.lit("0"), 8 - decimals))).otherwise(F.concat(F.lit("0"), F.left(digits, F.length(digits) - decimals + 8)))
+    value = scaled.try_cast("bigint")
     return F.when(text.startswith("-"), -value).otherwise(value)
 
 
@@ -23,17 +28,22 @@ def text8(value: Column) -> Column:
 
 
 def iso_ns(text: Column) -> Column:
-    """UTC ISO-8601 text with up to nine decimals to nanoseconds since 1970; null for anything else."""
-    ok = text.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d*)?Z$")
-    seconds = F.unix_seconds(F.try_to_timestamp(F.substring(text, 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss")))
-    fraction = F.rpad(F.substring(F.regexp_extract(text, r"\.(\d*)Z$", 1), 1, 9), 9, "0").cast("bigint")
-    return F.when(ok & (seconds >= 0), seconds * F.lit(1_000_000_000).cast("bigint") + fraction)
+    """UTC ISO-8601 text with up to nine decimals to nanoseconds since 1970; null for anything else.
+
+    Days up to 31 are taken in every month and roll over into the next (30 February is 2 March or 1 March), and a second 60 into the next minute.
+    """
+    ok = text.rlike(r"^\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])T([01]\d|2[0-3]):[0-5]\d:([0-5]\d|60)(\.\d*)?Z$")
+    part = lambda at, n: F.substring(text, at, n).try_cast("int")
+    month = F.unix_date(F.try_to_date(F.concat(F.substring(text, 1, 7), F.lit("-01")), "yyyy-MM-dd")).cast("bigint")
+    seconds = (month + part(9, 2) - 1) * 86_400 + part(12, 2) * 3600 + part(15, 2) * 60 + part(18, 2)
+    fraction = F.rpad(F.substring(F.regexp_extract(text, r"\.(\d*)Z$", 1), 1, 9), 9, "0").try_cast("bigint")
+    return F.when(ok & (month + part(9, 2) - 1 >= 0), F.try_add(F.try_multiply(seconds, F.lit(1_000_000_000).cast("bigint")), fraction))
 
 
 def spread_bps(bid: Column, ask: Column) -> Column:
-    """(ask - bid) / bid in basis points, cut, in 16 bits; 0 unless ask > bid > 0."""
-    scaled = (ask - bid) * 10_000
-    cut = ((scaled - scaled % F.greatest(bid, F.lit(1).cast("bigint"))) / F.greatest(bid, F.lit(1).cast("bigint"))).cast("bigint")
+    """(ask - bid) / bid in basis points, cut, in 16 bits; 0 unless ask > bid > 0; null if the spread times 10,000 is no long."""
+    scaled, by = F.try_multiply(F.try_subtract(ask, bid), F.lit(10_000).cast("bigint")), F.greatest(bid, F.lit(1).cast("bigint"))
+    cut = ((scaled - scaled % by) / by).cast("bigint")
     return F.when((bid > 0) & (ask > bid), cut.bitwiseAND(F.lit(65535).cast("bigint"))).otherwise(F.lit(0).cast("bigint")).cast("int")
 
 
@@ -61,6 +71,31 @@ def quantile_at(values: Column, numerator: int, denominator: int) -> Column:
 
 
 def scanned(payload: Column, key: str) -> Column:
-    """The text value of the first `"key":` at any depth, a string or a bare number; null if there is none."""
-    pattern = f'"{key}":[ \\t]*"?([^",}}\\]]*)'
-    return F.when(payload.rlike(pattern), F.regexp_extract(payload, pattern, 1))
+    """The text value of the first `"key":` at any depth, a string up to the next quote or a bare number; null if there is none."""
+    pattern = f'"{key}":[ \\t]*(?:"([^"]*)"|([^",}}\\]\\s][^,}}\\]\\s]*))'
+    return F.when(payload.rlike(pattern), F.concat(F.regexp_extract(payload, pattern, 1), F.regexp_extract(payload, pattern, 2)))
+
+
+# Permission bits in the first two bytes of a hook's address.
+HOOKS = [
+    "after_remove_liquidity_returns_delta", "after_add_liquidity_returns_delta", "after_swap_returns_delta", "before_swap_returns_delta", "after_donate", "before_donate", "after_swap", "before_swap",
+    "after_remove_liquidity", "before_remove_liquidity", "after_add_liquidity", "before_add_liquidity", "after_initialize", "before_initialize",
+]
+
+
+def hook_flags(address: Column) -> Column:
+    """The first two bytes of an address, big-endian; null if it has fewer."""
+    return F.when(F.length(address) >= 2, F.conv(F.hex(F.substring(address, 1, 2)), 16, 10).cast("int"))
+
+
+def has_hook(address: Column, name: str) -> Column:
+    return hook_flags(address).bitwiseAND(F.lit(1 << HOOKS.index(name))) != 0
+
+
+def has_dynamic_fee(fee: Column) -> Column:
+    return fee.bitwiseAND(F.lit(0x800000)) != 0
+
+
+def backoff_s(failures: Column) -> Column:
+    """Seconds to wait before the next connection after so many failures in a row: 1, 2, 4, ... at most 30."""
+    return F.least(F.lit(30), F.pow(F.lit(2), F.least(failures - 1, F.lit(5))).cast("int"))

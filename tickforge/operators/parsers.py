@@ -1,4 +1,4 @@
-"""Raw exchange payloads to typed columns. A row whose required field is missing has ok = false and goes to quarantine."""
+"""Raw exchange payloads to typed columns. A row with a required field missing, or a number that is no long, has ok = false and goes to quarantine."""
 
 from __future__ import annotations
 
@@ -12,6 +12,10 @@ def _long(text: Column) -> Column:
     return F.regexp_extract(text, r"^ *(\d+)", 1).try_cast("bigint")
 
 
+def _ns(ms: Column) -> Column:
+    return F.coalesce(F.try_multiply(_long(ms), F.lit(1_000_000).cast("bigint")), F.lit(0).cast("bigint"))
+
+
 def _parsed(messages: DataFrame, fields: dict[str, Column], required: list[str]) -> DataFrame:
     out = messages.select("*", *(c.alias(n) for n, c in fields.items()))
     ok = F.lit(True)
@@ -29,25 +33,31 @@ def _quote(bid: str, bid_size: str, ask: str, ask_size: str) -> dict[str, Column
 
 
 def _with_spread(df: DataFrame) -> DataFrame:
-    return df.withColumn("spread_bps", S.spread_bps(F.col("bid_px8"), F.col("ask_px8")))
+    out = df.withColumn("spread_bps", S.spread_bps(F.col("bid_px8"), F.col("ask_px8")))
+    return out.withColumn("ok", F.col("ok") & F.col("spread_bps").isNotNull())
+
+
+def quarantined(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(good, bad) rows; a parser never fails, and what it can't read is bad."""
+    return parsed.filter("ok").drop("ok"), parsed.filter("not ok").drop("ok")
 
 
 def binance_bbo(messages: DataFrame) -> DataFrame:
-    f = _quote("b", "B", "a", "A") | {"t0_ns": F.coalesce(_long(_get("E")), F.lit(0)) * 1_000_000, "sequence": F.coalesce(_long(_get("u")), F.lit(0).cast("bigint"))}
+    f = _quote("b", "B", "a", "A") | {"t0_ns": _ns(_get("E")), "sequence": F.coalesce(_long(_get("u")), F.lit(0).cast("bigint"))}
     return _with_spread(_parsed(messages, f, ["bid_px8", "bid_qty8", "ask_px8", "ask_qty8"])).withColumn("venue", F.lit(1))
 
 
 def binance_trade(messages: DataFrame) -> DataFrame:
     trade = F.coalesce(_long(_get("t")), F.lit(0).cast("bigint"))
     maker = F.col("payload").rlike('"m":[ \\t]*true')
-    f = {"price_px8": S.fixed8(_get("p")), "size_qty8": S.fixed8(_get("q")), "t0_ns": F.coalesce(_long(_get("T")), F.lit(0)) * 1_000_000, "trade_id": trade, "sequence": trade, "side": F.when(maker, 2).otherwise(1)}
+    f = {"price_px8": S.fixed8(_get("p")), "size_qty8": S.fixed8(_get("q")), "t0_ns": _ns(_get("T")), "trade_id": trade, "sequence": trade, "side": F.when(maker, 2).otherwise(1)}
     return _parsed(messages, f, ["price_px8", "size_qty8"]).withColumn("venue", F.lit(1))
 
 
 def okx_bbo(messages: DataFrame) -> DataFrame:
     """The time is a plain count of milliseconds, which is also the sequence."""
     ms = F.coalesce(_long(_get("ts")), F.lit(0).cast("bigint"))
-    f = _quote("bidPx", "bidSz", "askPx", "askSz") | {"t0_ns": ms * 1_000_000, "sequence": ms}
+    f = _quote("bidPx", "bidSz", "askPx", "askSz") | {"t0_ns": _ns(_get("ts")), "sequence": ms}
     return _with_spread(_parsed(messages, f, ["bid_px8", "bid_qty8", "ask_px8", "ask_qty8"])).withColumn("venue", F.lit(4))
 
 
