@@ -76,6 +76,20 @@ def scanned(payload: Column, key: str) -> Column:
     return F.when(payload.rlike(pattern), F.concat(F.regexp_extract(payload, pattern, 1), F.regexp_extract(payload, pattern, 2)))
 
 
+# Numbers of venues, chains and sides.
+NAMES = {
+    "venue": {1: "BINANCE", 2: "COINBASE", 3: "BYBIT", 4: "OKX", 101: "UNISWAP_V2", 102: "UNISWAP_V3", 103: "CURVE", 104: "UNISWAP_V4", 201: "RAYDIUM", 202: "ORCA"},
+    "chain": {0: "OFF_CHAIN", 1: "ETHEREUM", 10: "OPTIMISM", 56: "BSC", 501: "SOLANA", 8453: "BASE", 42161: "ARBITRUM"},
+    "side": {1: "BUY", 2: "SELL", 3: "TWO_SIDED"},
+}
+
+
+def named(kind: str, number: Column) -> Column:
+    """The name of a venue, chain or side; null if there is none."""
+    known = F.create_map(*(F.lit(x) for pair in NAMES[kind].items() for x in pair))
+    return F.try_element_at(known, number.cast("int"))
+
+
 # Permission bits in the first two bytes of a hook's address.
 HOOKS = [
     "after_remove_liquidity_returns_delta", "after_add_liquidity_returns_delta", "after_swap_returns_delta", "before_swap_returns_delta", "after_donate", "before_donate", "after_swap", "before_swap",

@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterator
 from math import isqrt
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 TICK, SLOTS = 100_000, 2048
 LEVELS = "pool long, side string, position int, price_px8 long, quantity decimal(38,0), slot int"
@@ -21,6 +22,13 @@ def v2_spot(base: int, quote: int, base_dec: int = 18, quote_dec: int = 6) -> in
     return 0 if base == 0 else quote * 10 ** (base_dec - quote_dec) * 10**8 // base
 
 
+def v2_spot_column(base: Column, quote: Column, base_dec: int = 18, quote_dec: int = 6) -> Column:
+    """v2_spot of decimal columns, in the JVM; null where 38 digits don't hold the scaled quote, or 64 bits the price: those are for `v2_spot`."""
+    scaled = F.try_multiply(quote.cast("decimal(38,0)"), F.lit(10 ** (base_dec - quote_dec + 8)).cast("decimal(38,0)")) if base_dec - quote_dec + 8 < 19 else F.try_multiply(F.try_multiply(quote.cast("decimal(38,0)"), F.lit(10**18).cast("decimal(38,0)")), F.lit(10 ** (base_dec - quote_dec - 10)).cast("decimal(38,0)"))
+    whole = F.greatest(base, F.lit(1)).cast("decimal(38,0)")
+    return F.when(base == 0, F.lit(0).cast("bigint")).otherwise(((scaled - scaled % whole) / whole).cast("decimal(38,0)").try_cast("bigint"))
+
+
 def v2_levels(base: int, quote: int, bands: list[int], base_dec: int = 18, quote_dec: int = 6) -> list[tuple[str, int, int, int]]:
     spot, out = v2_spot(base, quote, base_dec, quote_dec), []
     for i, bps in enumerate(bands if spot > 0 else []):

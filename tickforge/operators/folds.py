@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -87,9 +88,11 @@ def ladder(updates: DataFrame) -> DataFrame:
 
 
 def session(messages: DataFrame, stale_ms: int = 10_000, reset: bool = True) -> DataFrame:
-    """(connection, ord, action, expected, got, emits_trade) of rows (connection, ord, now_ms, type, product_id, sequence, trade_id).
+    """(connection, ord, action, expected, got, emits_quote, emits_trade) of rows (connection, ord, now_ms, type, product_id, sequence, trade_id, valid).
 
-    With `reset` every action clears the baselines of all products, as after a reconnection; the largest emitted trade is kept.
+    With `reset` every action clears the baselines of all products of the connection, as a runner does; the largest emitted trade is kept.
+    A silence of more than `stale_ms` before a message is an action too (`stale`), in the place of which the message's own comes only if it has one.
+    Rows that are not `valid` (malformed, or of an unknown product) only end a silence.
     """
 
     def step(row: dict, state: dict | None) -> tuple[list[tuple], dict]:
@@ -97,13 +100,14 @@ def session(messages: DataFrame, stale_ms: int = 10_000, reset: bool = True) ->
         action, expected, got, trade = None, None, None, False
         p, seq, tid = row["product_id"], row["sequence"], row["trade_id"]
         if row["now_ms"] - s["at"] > stale_ms:
-            action = "reconnect_stale"
+            action = "stale"
             if reset:
                 s["seq"], s["tid"] = {}, {}
         s["at"] = row["now_ms"]
+        quote = row["type"] == "ticker" and row["valid"]
         if row["type"] == "error":
-            action = "reconnect_error"
-        elif row["type"] == "ticker" and None not in (p, seq, tid):
+            action = "error"
+        elif quote:
             if p in s["seq"] and seq <= s["seq"][p]:
                 action, expected, got = "regression", s["seq"][p], seq
             elif p in s["tid"] and tid != s["tid"][p] + 1:
@@ -111,7 +115,7 @@ def session(messages: DataFrame, stale_ms: int = 10_000, reset: bool = True) ->
             s["seq"][p], s["tid"][p] = seq, tid
             if trade := tid > s["max"].get(p, 0):
                 s["max"][p] = tid
-        elif row["type"] == "heartbeat" and None not in (p, seq, tid):
+        elif row["valid"]:
             if p in s["seq"] and seq <= s["seq"][p]:
                 action, expected, got = "regression", s["seq"][p], seq
             else:
@@ -121,10 +125,37 @@ def session(messages: DataFrame, stale_ms: int = 10_000, reset: bool = True) ->
                     action, expected, got = "heartbeat_behind", s["tid"][p], tid
         if action and reset:
             s["seq"], s["tid"] = {}, {}
-        return [(row["connection"], row["ord"], action, expected, got, trade)], s
+        return [(row["connection"], row["ord"], action, expected, got, quote, trade)], s
 
-    cols = ["connection", "ord", "now_ms", "type", "product_id", "sequence", "trade_id"]
-    return ordered_fold(messages.select(*cols), ["connection"], ["ord"], step, "connection long, ord long, action string, expected long, got long, emits_trade boolean")
+    cols = ["connection", "ord", "now_ms", "type", "product_id", "sequence", "trade_id", "valid"]
+    return ordered_fold(messages.select(*cols), ["connection"], ["ord"], step, "connection long, ord long, action string, expected long, got long, emits_quote boolean, emits_trade boolean")
+
+
+def queue(ops: DataFrame, capacity: int, drop_oldest: bool) -> DataFrame:
+    """(queue, ord, result, item) of pushes and pops (queue, ord, op) in order: enqueued, dropped, evicted (then `item` went), popped or empty."""
+
+    def step(row: dict, state: dict | None) -> tuple[list[tuple], dict]:
+        s = state or {"held": deque()}
+        held, item = s["held"], None
+        if row["op"] == "pop":
+            result, item = ("popped", held.popleft()) if held else ("empty", None)
+        elif len(held) < capacity:
+            result = "enqueued"
+            held.append(row["ord"])
+        elif drop_oldest:
+            result, item = "evicted", held.popleft()
+            held.append(row["ord"])
+        else:
+            result = "dropped"
+        return [(row["queue"], row["ord"], result, item)], s
+
+    return ordered_fold(ops.select("queue", "ord", "op"), ["queue"], ["ord"], step, "queue long, ord long, result string, item long")
+
+
+def queue_counters(done: DataFrame) -> DataFrame:
+    """Of each queue: enqueued (an eviction's item is not), dropped, evicted, consumed, saturations."""
+    n = lambda *results: F.count_if(F.col("result").isin(*results))
+    return done.groupBy("queue").agg(n("enqueued").alias("enqueued"), n("dropped").alias("dropped"), n("evicted").alias("evicted"), n("popped").alias("consumed"), n("dropped", "evicted").alias("saturations"))
 
 
 def bounded_queue(df: DataFrame, keys: list[str], order: str, capacity: int, drop_oldest: bool) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import amm, codec, folds, parsers, router
+from ..operators import amm, codec, folds, ordered, parsers, rings, router, session, websocket
 from ..sources import adapters as A
 from ..sources import simulator
 
@@ -63,6 +63,14 @@ def fixed_point_parse(s, d):
     return A.read(s, d, "events").select("event_id", S.fixed8(F.expr(_DIGITS)).alias("px8"))
 
 
+_DIRTY = "CASE event_id % 9 WHEN 0 THEN 'abc' WHEN 1 THEN '1e5' WHEN 2 THEN '99999999999999999999' WHEN 3 THEN '1.2.3' WHEN 4 THEN '-7' WHEN 5 THEN '' WHEN 6 THEN '12x3.4y567890123' WHEN 7 THEN '--1.5-' ELSE '.25' END"
+
+
+@query("fixed_point_dirty", "SELECT event_id, CASE event_id % 9 WHEN 0 THEN 0 WHEN 1 THEN 1500000000 WHEN 3 THEN 1230000000 WHEN 4 THEN -700000000 WHEN 5 THEN 0 WHEN 6 THEN 12345678901 WHEN 7 THEN -150000000 WHEN 8 THEN 25000000 END::BIGINT AS px8 FROM events")
+def fixed_point_dirty(s, d):
+    return A.read(s, d, "events").select("event_id", S.fixed8(F.expr(_DIRTY)).alias("px8"))
+
+
 @query("fixed_point_format", f"WITH {BBO} SELECT ord, {TEXT8('bid_px8 - 5000000000')} AS bid, {TEXT8('ask_px8')} AS ask FROM bbo")
 def fixed_point_format(s, d):
     return A.bbo(s, d).select("ord", S.text8(F.col("bid_px8") - 5_000_000_000).alias("bid"), S.text8(F.col("ask_px8")).alias("ask"))
@@ -120,10 +128,13 @@ def batch_mean(s, d):
     return A.bbo(s, d).agg(F.sum(F.expr("t3_ns - t1_ns")).alias("x"), F.count("*").alias("messages")).selectExpr("x div messages AS mean_ns", "messages")
 
 
-@query("venue_names", f"WITH {BBO} SELECT ord, CASE venue WHEN 1 THEN 'BINANCE' WHEN 2 THEN 'COINBASE' WHEN 4 THEN 'OKX' WHEN 102 THEN 'UNISWAP' ELSE 'RAYDIUM' END AS venue_name FROM bbo")
-def venue_names(s, d):
-    names = s.createDataFrame([(1, "BINANCE"), (2, "COINBASE"), (4, "OKX"), (102, "UNISWAP"), (201, "RAYDIUM")], "venue int, venue_name string")
-    return A.bbo(s, d).join(F.broadcast(names), "venue").select("ord", "venue_name")  # five rows
+_NAMED = lambda kind, c: f"CASE {c} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in S.NAMES[kind].items()) + " END"
+
+
+@query("enum_names", f"WITH {BBO} SELECT ord, {_NAMED('venue', 'venue')} AS venue_name, {_NAMED('chain', '[0, 1, 10, 56, 501, 8453, 42161, 7][ord % 8 + 1]')} AS chain_name, {_NAMED('side', 'ord % 4')} AS side_name FROM bbo")
+def enum_names(s, d):
+    chain = F.element_at(F.array(*map(F.lit, [*S.NAMES["chain"], 7])), (F.col("ord") % 8 + 1).cast("int"))
+    return A.bbo(s, d).select("ord", S.named("venue", F.col("venue")).alias("venue_name"), S.named("chain", chain).alias("chain_name"), S.named("side", (F.col("ord") % 4).cast("int")).alias("side_name"))
 
 
 # parsers: payloads are made from known columns and parsed back
@@ -188,6 +199,17 @@ def quarantine_counts(s, d):
     return parsers.coinbase_bbo(broken).groupBy("ok").agg(F.count("*").alias("messages"))
 
 
+@query("quarantine_of_bad_numbers", f"WITH {BBO} SELECT k % 6 NOT IN (2, 3) AS ok, count(*) AS messages, sum(CASE WHEN k % 6 IN (0, 1) THEN CASE k % 6 WHEN 0 THEN 0 ELSE 1500000000 END END)::BIGINT AS bids FROM bbo GROUP BY 1")
+def quarantine_of_bad_numbers(s, d):
+    """Bids of no digits or an exponent are read by their digits; numbers and spreads beyond 64 bits go to quarantine."""
+    bid = F.expr("CASE k % 6 WHEN 0 THEN 'abc' WHEN 1 THEN '1e5' WHEN 2 THEN '99999999999999999999' WHEN 3 THEN '0.00000001' END")
+    ask = F.when(F.col("k") % 6 == 3, "90000000000")
+    b = A.ticker_messages(s, d).withColumns({"bid": bid, "ask": ask})
+    said = lambda name, c, text: F.when(c.isNull(), text).otherwise(F.regexp_replace(text, F.lit(f'"{name}":"[^"]*"'), F.concat(F.lit(f'"{name}":"'), c, F.lit('"'))))
+    read = parsers.coinbase_bbo(b.withColumn("payload", said("best_ask", F.col("ask"), said("best_bid", F.col("bid"), F.col("payload")))))
+    return read.groupBy("ok").agg(F.count("*").alias("messages"), F.sum(F.when(F.col("k") % 6 < 2, F.col("bid_px8"))).alias("bids"))
+
+
 @query("raydium_quotes", f"WITH {BBO} SELECT ord, bid_px8 * 100 AS bid_px8, bid_px8 * 100 + bid_px8 * 100 * 5 // 10000 AS ask_px8, true AS ok FROM bbo")
 def raydium_quotes(s, d):
     data = F.expr("concat(unhex(repeat('00', 16)), reverse_bytes, unhex(repeat('00', 40)))")
@@ -233,14 +255,74 @@ def subscription_join(s, d):
     return _judged(s, d).groupBy("verdict").agg(F.count("*").alias("pairs"), F.countDistinct("client_id").alias("clients"))
 
 
-@query("dispatch_metrics_unlimited", f"WITH {BBO}, {CLIENTS}, {MATCHED} SELECT ord, count(*) AS matched, count(*) FILTER (verdict = 'candidate') AS delivered, count(*) FILTER (verdict = 'filtered') AS filtered, coalesce(sum(92) FILTER (verdict = 'candidate' AND protocol = 'sbe'), 0)::BIGINT AS sbe_bytes FROM j GROUP BY ord")
+def _json(fields: list[tuple[str, str, bool]]) -> str:
+    return " || ',' || ".join(f"'\"{n}\":' || " + (f"'\"' || {TEXT8(c)} || '\"'" if q else f"({c})::VARCHAR") for n, c, q in fields)
+
+
+_TEL = "',\"telemetry\":{\"t0\":' || t0_ns || ',\"t1\":' || t1_ns || ',\"t2\":' || t2_ns || ',\"t3\":' || t3_ns || '}}'"
+_BBO_TEXT = "'{\"type\":\"bbo\",' || " + _json([("market_id", "market_id", False), ("venue", "venue", False), ("chain", "chain", False), ("sequence", "sequence", False), ("bid_px", "bid_px8", True), ("bid_qty", "bid_qty8", True), ("ask_px", "ask_px8", True), ("ask_qty", "ask_qty8", True), ("spread_bps", "spread_bps", False), ("flags", "flags", False)]) + f" || {_TEL}"
+_TRADE_TEXT = "'{\"type\":\"trade\",' || " + _json([("market_id", "market_id", False), ("venue", "venue", False), ("chain", "chain", False), ("sequence", "sequence", False), ("trade_id", "trade_id", False), ("price", "price_px8", True), ("size", "size_qty8", True), ("side", "side", False), ("is_liquidation", "is_liquidation", False)]) + f" || {_TEL}"
+_STAMPED = f"{TRADES}, t AS (SELECT *, 0 AS chain, ord * 1000 AS t0_ns, ord * 1000 + 1 AS t1_ns, ord * 1000 + 2 AS t2_ns, ord * 1000 + 3 AS t3_ns FROM trades)"
+# What goes to whom: of quotes and of trades, with the bytes of each message.
+_SENT_BBO = f"{BBO}, {CLIENTS}, {MATCHED}, x AS (SELECT ord, length({_BBO_TEXT}) AS n FROM bbo), p AS (SELECT j.ord, client_id, protocol, verdict, CASE protocol WHEN 'sbe' THEN 92 ELSE n END AS bytes, j.ord * 3 AS now_ms FROM j JOIN x ON x.ord = j.ord)"
+_SENT_TRADES = f"""{_STAMPED}, {CLIENTS}, n AS (SELECT *, length({_TRADE_TEXT}) AS n FROM t), p AS (SELECT t.ord, client_id, protocol, CASE WHEN state IS NULL OR state NOT IN (1, 2) THEN 'inactive' WHEN price_px8::DOUBLE / 1e8 * (size_qty8::DOUBLE / 1e8) < min_notional_usd THEN 'filtered' ELSE 'candidate' END AS verdict,
+  CASE protocol WHEN 'sbe' THEN 95 ELSE n END AS bytes, t.ord * 3 AS now_ms FROM n t JOIN subs ON subs.stream = 3 AND subs.venue = t.venue AND subs.market_id = t.market_id LEFT JOIN clients USING (client_id))"""
+
+
+def _limited(rate: int, burst: int) -> str:
+    """The token bucket as a fold over each client's candidates of p: q has p's rows with delivered, filtered, rate_limited and inactive."""
+    new = f"(CASE WHEN x.now > s.at THEN (x.now - s.at) * {rate} // 1000 ELSE 0 END)"
+    have = f"(CASE WHEN {new} > 0 THEN least(s.tok + {new}, {burst}) ELSE s.tok END)"
+    then = f"(CASE WHEN {new} > 0 THEN CASE WHEN {have} >= {burst} THEN x.now ELSE least(s.at + {new} * 1000 // {rate}, x.now) END ELSE s.at END)"
+    return f"""k0 AS (SELECT client_id, list({{'now': now_ms, 'ord': ord}} ORDER BY now_ms, ord) AS l FROM p WHERE verdict = 'candidate' GROUP BY client_id),
+k1 AS (SELECT client_id, l, list_reduce(l, lambda s, x: CASE WHEN {have} >= 1 THEN {{'at': {then}, 'tok': {have} - 1, 'ok': list_append(s.ok, true)}} ELSE {{'at': s.at, 'tok': s.tok, 'ok': list_append(s.ok, false)}} END, {{'at': l[1].now, 'tok': {burst}::BIGINT, 'ok': []::BOOLEAN[]}}).ok AS ok FROM k0),
+k2 AS (SELECT client_id, unnest(l).ord AS ord, unnest(ok) AS ok FROM k1),
+q AS (SELECT p.* EXCLUDE (verdict), CASE WHEN verdict <> 'candidate' THEN verdict WHEN ok THEN 'delivered' ELSE 'rate_limited' END AS verdict FROM p LEFT JOIN k2 ON p.ord = k2.ord AND p.client_id = k2.client_id)"""
+
+
+_UNLIMITED = "q AS (SELECT * EXCLUDE (verdict), CASE verdict WHEN 'candidate' THEN 'delivered' ELSE verdict END AS verdict FROM p)"
+_SIX = """SELECT ord, count(*) AS matched, count(*) FILTER (verdict = 'delivered') AS delivered, count(*) FILTER (verdict = 'filtered') AS filtered, count(*) FILTER (verdict = 'rate_limited') AS rate_limited,
+  coalesce(sum(bytes) FILTER (verdict = 'delivered' AND protocol = 'sbe'), 0)::BIGINT AS sbe_bytes, coalesce(sum(bytes) FILTER (verdict = 'delivered' AND protocol = 'json'), 0)::BIGINT AS json_bytes FROM q GROUP BY ord"""
+_BY_CLIENT = "SELECT client_id, count(*) FILTER (verdict = 'delivered') AS messages_sent, coalesce(sum(bytes) FILTER (verdict = 'delivered'), 0)::BIGINT AS bytes_sent, count(*) FILTER (verdict = 'rate_limited') AS dropped_rate_limit FROM q WHERE verdict IN ('delivered', 'rate_limited') GROUP BY client_id"
+
+
+def _quotes_sent(s, d, *limit: int) -> DataFrame:
+    return router.dispatch(A.bbo(s, d).withColumn("now_ms", F.col("ord") * 3), A.subscriptions(s, d), A.clients(s, d), 1, *limit)
+
+
+def _trades_sent(s, d, *limit: int) -> DataFrame:
+    return router.dispatch(_stamped(s, d).withColumn("now_ms", F.col("ord") * 3), A.subscriptions(s, d), A.clients(s, d), 3, *limit)
+
+
+@query("dispatch_metrics_unlimited", f"WITH {_SENT_BBO}, {_UNLIMITED} {_SIX}")
+def dispatch_metrics_unlimited(s, d):
+    return router.metrics(_quotes_sent(s, d))
+
+
+@query("dispatch_metrics", f"WITH {_SENT_BBO}, {_limited(5, 3)} {_SIX}")
 def dispatch_metrics(s, d):
-    return router.metrics(_judged(s, d))
+    return router.metrics(_quotes_sent(s, d, 5, 3))
 
 
-@query("client_delivery_counts", f"WITH {BBO}, {CLIENTS}, {MATCHED} SELECT client_id, count(*) AS messages_sent, sum(CASE protocol WHEN 'sbe' THEN 92 ELSE 0 END)::BIGINT AS bytes_sent FROM j WHERE verdict = 'candidate' GROUP BY client_id")
+@query("client_delivery_counts", f"WITH {_SENT_BBO}, {_limited(5, 3)} {_BY_CLIENT}")
 def client_delivery_counts(s, d):
-    return router.client_counts(_judged(s, d))
+    return router.client_counts(_quotes_sent(s, d, 5, 3))
+
+
+@query("trade_dispatch_metrics", f"WITH {_SENT_TRADES}, {_limited(4, 2)} {_SIX}")
+def trade_dispatch_metrics(s, d):
+    return router.metrics(_trades_sent(s, d, 4, 2))
+
+
+@query("trade_client_counts", f"WITH {_SENT_TRADES}, {_UNLIMITED} {_BY_CLIENT}")
+def trade_client_counts(s, d):
+    return router.client_counts(_trades_sent(s, d))
+
+
+@query("broadcast_frames", f"WITH {_SENT_BBO}, {_UNLIMITED} SELECT ord, count(*) AS frames, sum(CASE protocol WHEN 'sbe' THEN 94 WHEN 'json' THEN bytes + CASE WHEN bytes < 126 THEN 2 ELSE 4 END END)::BIGINT AS bytes FROM q WHERE verdict = 'delivered' GROUP BY ord")
+def broadcast_frames(s, d):
+    frames = websocket.broadcast(A.bbo(s, d), _quotes_sent(s, d), 1)
+    return frames.groupBy("ord").agg(F.count("*").alias("frames"), F.sum(F.octet_length("frame")).cast("bigint").alias("bytes"))
 
 
 @query("trade_subscription_join", f"WITH {TRADES}, {CLIENTS} SELECT trades.market_id, count(*) AS pairs, count(*) FILTER (state IN (1, 2) AND NOT price_px8::DOUBLE / 1e8 * (size_qty8::DOUBLE / 1e8) < min_notional_usd) AS delivered FROM trades JOIN subs ON subs.stream = 3 AND subs.venue = trades.venue AND subs.market_id = trades.market_id LEFT JOIN clients USING (client_id) GROUP BY 1")
@@ -254,12 +336,30 @@ def topic_client_counts(s, d):
     return A.subscriptions(s, d).agg(F.countDistinct("client_id").alias("clients"), F.countDistinct("topic_key").alias("topics"))
 
 
-@query("token_bucket")
+@query("token_bucket", f"WITH {_SENT_BBO}, {_limited(5, 3)} SELECT client_id, count(*) FILTER (verdict = 'delivered') AS delivered, count(*) FILTER (verdict = 'rate_limited') AS limited FROM q WHERE verdict IN ('delivered', 'rate_limited') GROUP BY client_id")
 def token_bucket(s, d):
     ready = _judged(s, d).filter("verdict = 'candidate'").select("client_id", "ord", (F.col("ord") * 3).alias("now_ms"))
     return router.rate_limited(ready, 5, 3).groupBy("client_id").agg(F.count_if("delivered").alias("delivered"), F.count_if(~F.col("delivered")).alias("limited"))
 
 
+_COMMANDS = "c AS (SELECT o_orderkey AS ord, o_custkey % 1100 AS client_id, o_custkey % 4 + (o_orderkey // 8 % 3) * 10 AS topic_key, ['register', 'subscribe', 'subscribe', 'unsubscribe', 'subscribe', 'register', 'subscribe', 'unregister'][hash_of % 8 + 1] AS kind FROM (SELECT *, o_orderkey * 7919 // 13 AS hash_of FROM orders)), l AS (SELECT *, last_value(CASE WHEN kind IN ('register', 'unregister') THEN kind END IGNORE NULLS) OVER (PARTITION BY client_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM c), e AS (SELECT *, CASE WHEN kind = 'register' AND was = 'register' THEN 'already exists' WHEN kind IN ('unregister', 'subscribe') AND (was IS NULL OR was = 'unregister') THEN 'not found' END AS error FROM l)"
+
+
+def _commands(s, d) -> DataFrame:
+    kinds = F.array(*map(F.lit, ["register", "subscribe", "subscribe", "unsubscribe", "subscribe", "register", "subscribe", "unregister"]))
+    return A.read(s, d, "orders").selectExpr("o_orderkey AS ord", "o_custkey % 1100 AS client_id", "o_custkey % 4 + (o_orderkey div 8 % 3) * 10 AS topic_key", "CAST(o_orderkey * 7919 div 13 % 8 AS INT) AS h").withColumn("kind", F.element_at(kinds, F.col("h") + 1)).drop("h")
+
+
+@query("client_registry", f"WITH {_COMMANDS} SELECT ord, client_id, kind, error FROM e")
+def client_registry(s, d):
+    return router.registry(_commands(s, d)).select("ord", "client_id", "kind", "error")
+
+
+@query("registered_subscriptions", f"WITH {_COMMANDS}, z AS (SELECT client_id, max(ord) AS z FROM e WHERE kind = 'unregister' AND error IS NULL GROUP BY 1), t AS (SELECT client_id, topic_key, arg_max(kind, ord) AS kind, max(ord) AS ord FROM e WHERE kind IN ('subscribe', 'unsubscribe') AND error IS NULL AND client_id < 1024 GROUP BY 1, 2) SELECT client_id, topic_key FROM t LEFT JOIN z USING (client_id) WHERE kind = 'subscribe' AND (z IS NULL OR ord > z)")
+def registered_subscriptions(s, d):
+    return router.subscribed(router.registry(_commands(s, d)))
+
+
 @query("subscription_state", "WITH c AS (SELECT o_custkey AS client_id, o_custkey % 10 + (o_orderkey % 3) * 10 AS topic_key, arg_max(o_orderkey % 2, o_orderkey) AS a FROM orders WHERE o_custkey < 1024 GROUP BY 1, 2) SELECT client_id, topic_key FROM c WHERE a = 1")
 def subscription_state(s, d):
     commands = A.read(s, d, "orders").selectExpr("o_orderkey AS ord", "o_custkey AS client_id", "o_custkey % 10 + (o_orderkey % 3) * 10 AS topic_key", "if(o_orderkey % 2 = 1, 'subscribe', 'unsubscribe') AS action")
@@ -310,8 +410,7 @@ _RUNNING = "max(bid_px8) OVER w AS best_bid, min(ask_px8) OVER w AS best_ask FRO
 
 
 def _running(s, d) -> DataFrame:
-    w = Window.partitionBy("market_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    return A.bbo(s, d).withColumn("best_bid", F.max("bid_px8").over(w)).withColumn("best_ask", F.min("ask_px8").over(w))
+    return ordered.running(A.bbo(s, d), ["market_id"], "ord", {"best_bid": ("max", "bid_px8"), "best_ask": ("min", "ask_px8")})
 
 
 @query("running_bbo", f"WITH {BBO} SELECT ord, {_RUNNING}")
@@ -324,10 +423,16 @@ def quote_rewrite(s, d):
     return _running(s, d).select("ord", "bid_qty8", "ask_qty8", "spread_bps", "best_bid", "best_ask")
 
 
+def _ladder_updates(s, d) -> DataFrame:
+    """Two updates an event of a book for each market and four units of price, around its middle; every fifth bid empties its slot, and prices repeat."""
+    b = A.bbo(s, d).withColumn("band", F.expr("(bid_px8 + ask_px8) div 2 div 400000000"))
+    b = b.selectExpr("market_id * 1000000 + band AS book_id", "ord", "band * 400000000 + 200000000 AS base_px8", "bid_px8 div 20000000 * 20000000 AS bid", "ask_px8 div 20000000 * 20000000 + 20000000 AS ask", "bid_qty8", "ask_qty8")
+    return b.selectExpr("book_id", "ord", "base_px8", "inline(array(struct('bid' AS side, bid AS price_px8, if(ord % 5 = 0, 0L, bid_qty8) AS quantity), struct('ask' AS side, ask AS price_px8, if(ord % 7 = 0, 0L, ask_qty8) AS quantity)))")
+
+
 @query("ladder_exact")
 def ladder_exact(s, d):
-    b = A.bbo(s, d).selectExpr("market_id AS book_id", "ord", "49 * 400000000 AS base_px8", "inline(array(struct('bid' AS side, bid_px8 AS price_px8, if(ord % 5 = 0, 0L, bid_qty8) AS quantity), struct('ask' AS side, ask_px8 AS price_px8, ask_qty8 AS quantity)))")
-    return folds.ladder(b)
+    return folds.ladder(_ladder_updates(s, d))
 
 
 # sessions
@@ -337,44 +442,93 @@ _LAG = "lag({c}) OVER (PARTITION BY market_id ORDER BY ord)"
 
 @query("seq_regression", f"WITH {BBO}, x AS (SELECT ord, market_id, sequence * 7919 % 1009 AS s FROM bbo), l AS (SELECT *, {_LAG.format(c='s')} AS p FROM x) SELECT ord, p AS last, s AS got FROM l WHERE s <= p")
 def seq_regression(s, d):
-    w = Window.partitionBy("market_id").orderBy("ord")
-    x = A.bbo(s, d).selectExpr("ord", "market_id", "sequence * 7919 % 1009 AS got").withColumn("last", F.lag("got").over(w))
+    x = ordered.neighbour(A.bbo(s, d).selectExpr("ord", "market_id", "sequence * 7919 % 1009 AS got"), ["market_id"], "ord", {"last": "got"})
     return x.filter("got <= last").select("ord", "last", "got")
 
 
 @query("trade_id_gaps", f"WITH {TRADES}, l AS (SELECT *, {_LAG.format(c='trade_id')} + 1 AS expected FROM trades) SELECT market_id, expected, trade_id AS got FROM l WHERE trade_id <> expected")
 def trade_id_gaps(s, d):
-    w = Window.partitionBy("market_id").orderBy("ord")
-    return A.trades(s, d).withColumn("expected", F.lag("trade_id").over(w) + 1).filter("trade_id <> expected").select("market_id", "expected", F.col("trade_id").alias("got"))
+    x = ordered.neighbour(A.trades(s, d), ["market_id"], "ord", {"last": "trade_id"}).withColumn("expected", F.col("last") + 1)
+    return x.filter("trade_id <> expected").select("market_id", "expected", F.col("trade_id").alias("got"))
 
 
 @query("trade_dedup", f"WITH {TRADES}, x AS (SELECT ord, market_id, trade_id * 7919 % 10007 + 1 AS tid FROM trades), m AS (SELECT *, coalesce(max(tid) OVER (PARTITION BY market_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS top FROM x) SELECT ord, tid FROM m WHERE tid > top")
 def trade_dedup(s, d):
-    w = Window.partitionBy("market_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    x = A.trades(s, d).selectExpr("ord", "market_id", "trade_id * 7919 % 10007 + 1 AS tid").withColumn("top", F.coalesce(F.max("tid").over(w), F.lit(0)))
-    return x.filter("tid > top").select("ord", "tid")
+    x = ordered.running(A.trades(s, d).selectExpr("ord", "market_id", "trade_id * 7919 % 10007 + 1 AS tid"), ["market_id"], "ord", {"top": ("max", "tid")}, before=True)
+    return x.filter("tid > coalesce(top, 0)").select("ord", "tid")
 
 
 @query("stale_intervals", f"WITH {BBO}, l AS (SELECT market_id, ord, t1_ns, lead(t1_ns) OVER (PARTITION BY market_id ORDER BY ord) AS n FROM bbo) SELECT market_id, ord, n - t1_ns AS silent_ns FROM l WHERE n - t1_ns > 10000000000")
 def stale_intervals(s, d):
-    w = Window.partitionBy("market_id").orderBy("ord")
-    return A.bbo(s, d).withColumn("silent_ns", F.lead("t1_ns").over(w) - F.col("t1_ns")).filter("silent_ns > 10000000000").select("market_id", "ord", "silent_ns")
+    x = ordered.neighbour(A.bbo(s, d).select("market_id", "ord", "t1_ns"), ["market_id"], "ord", {"next": "t1_ns"}, after=True).withColumn("silent_ns", F.col("next") - F.col("t1_ns"))
+    return x.filter("silent_ns > 10000000000").select("market_id", "ord", "silent_ns")
+
+
+@query("reconnect_backoff", f"WITH {BBO}, x AS (SELECT ord, market_id, k % 3 = 0 AS heard FROM bbo), g AS (SELECT *, sum(heard::INT) OVER (PARTITION BY market_id ORDER BY ord) AS g FROM x), f AS (SELECT ord, row_number() OVER (PARTITION BY market_id, g ORDER BY ord) AS n FROM g WHERE NOT heard) SELECT ord, least(30, pow(2, least(n - 1, 5)))::INTEGER AS wait_s FROM f")
+def reconnect_backoff(s, d):
+    """Attempts of which one in three hears a message, and the wait after each of the others."""
+    x = A.bbo(s, d).selectExpr("ord", "market_id", "CAST(k % 3 = 0 AS BIGINT) AS heard", "CAST(k % 3 <> 0 AS BIGINT) AS failed")
+    x = ordered.running(x, ["market_id"], "ord", {"g": ("sum", "heard")})
+    x = ordered.running(x, ["market_id", "g"], "ord", {"failures": ("sum", "failed")})
+    return x.filter("failed = 1").select("ord", S.backoff_s(F.col("failures")).cast("int").alias("wait_s"))
 
 
-@query("session_stats", f"WITH {BBO}, l AS (SELECT *, sequence * 7919 % 1009 AS s FROM bbo), g AS (SELECT *, {_LAG.format(c='s')} AS p FROM l) SELECT count(*) AS messages, count(*) FILTER (k % 7 <> 0) AS tickers, count(*) FILTER (k % 7 = 0) AS malformed, count(*) FILTER (s <= p) AS regressions FROM g")
+_PRODUCTS = [f"M-{i}" for i in range(1, 9)]
+# Messages of A.session_messages, their checks by windows, and what they count.
+_FEED = """f AS (SELECT ord, market_id, CASE WHEN k % 13 = 0 THEN NULL WHEN k % 11 = 0 THEN 'error' WHEN k % 17 = 3 THEN 'subscriptions' WHEN k % 5 = 1 THEN 'heartbeat' ELSE 'ticker' END AS type, k % 19 <> 4 AS whole,
+  ord // 3 * 3 + ord * 7919 % 4 AS seq, ord // 40 + ord * 31 % 3 AS tid FROM bbo),
+v AS (SELECT * FROM f WHERE market_id <= 8 AND (type = 'heartbeat' OR type = 'ticker' AND whole)),
+g1 AS (SELECT *, count(*) FILTER (type = 'ticker') OVER (PARTITION BY market_id ORDER BY ord) AS g FROM v),
+g2 AS (SELECT *, CASE WHEN g > 0 THEN max(seq) OVER (PARTITION BY market_id, g ORDER BY ord) END AS top FROM g1),
+g3 AS (SELECT *, lag(top) OVER w AS last, last_value(CASE type WHEN 'ticker' THEN tid END IGNORE NULLS) OVER (PARTITION BY market_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ours,
+  coalesce(max(CASE type WHEN 'ticker' THEN tid END) OVER (PARTITION BY market_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS emitted FROM g2 WINDOW w AS (PARTITION BY market_id ORDER BY ord)),
+a AS (SELECT *, CASE WHEN seq <= last THEN 'regression' WHEN type = 'ticker' AND tid <> ours + 1 THEN 'trade_gap' WHEN type = 'heartbeat' AND tid > ours THEN 'heartbeat_behind' END AS action FROM g3)"""
+
+
+def _audited(s, d) -> DataFrame:
+    return session.audit(session.read_messages(A.session_messages(s, d), _PRODUCTS).withColumn("connection", F.lit(0).cast("long")), ["connection", "product_id"])
+
+
+@query("session_audit", f"WITH {BBO}, {_FEED} SELECT f.ord, coalesce(a.action, CASE f.type WHEN 'error' THEN 'error' END) AS action, CASE action WHEN 'regression' THEN last WHEN 'trade_gap' THEN ours + 1 WHEN 'heartbeat_behind' THEN ours END AS expected, CASE WHEN action = 'regression' THEN a.seq WHEN action IS NOT NULL THEN a.tid END AS got, coalesce(a.type = 'ticker', false) AS emits_quote, coalesce(a.type = 'ticker' AND a.tid > emitted, false) AS emits_trade FROM f LEFT JOIN a USING (ord)")
+def session_audit(s, d):
+    return _audited(s, d).select("ord", "action", "expected", "got", "emits_quote", "emits_trade")
+
+
+@query("session_stats", f"""WITH {BBO}, {_FEED}, n AS (SELECT count(*) AS messages, count(*) FILTER (type = 'ticker') AS tickers, count(*) FILTER (type = 'heartbeat') AS heartbeats, count(*) FILTER (type IS NULL OR type = 'ticker' AND market_id <= 8 AND NOT whole) AS malformed,
+  count(*) FILTER (type IN ('ticker', 'heartbeat') AND market_id > 8) AS unknown_product FROM f),
+m AS (SELECT count(*) FILTER (type = 'ticker') + count(*) FILTER (type = 'ticker' AND tid > emitted) AS events_emitted, count(*) FILTER (action = 'regression') AS sequence_regressions, count(*) FILTER (action = 'trade_gap') AS trade_id_gaps, count(*) FILTER (action = 'heartbeat_behind') AS heartbeat_behind FROM a)
+SELECT n.*, m.*, 0::BIGINT AS resubscribes, 0::BIGINT AS reconnects FROM n, m""")
 def session_stats(s, d):
-    w = Window.partitionBy("market_id").orderBy("ord")
-    x = A.bbo(s, d).withColumn("got", F.expr("sequence * 7919 % 1009")).withColumn("last", F.lag("got").over(w))
-    return x.agg(F.count("*").alias("messages"), F.count_if(F.col("k") % 7 != 0).alias("tickers"), F.count_if(F.col("k") % 7 == 0).alias("malformed"), F.count_if(F.col("got") <= F.col("last")).alias("regressions"))
+    return session.counters(_audited(s, d))
+
+
+def _run(s, d) -> DataFrame:
+    read = session.read_messages(A.session_messages(s, d), _PRODUCTS)
+    return read.withColumn("connection", F.col("ord") % 3).withColumn("now_ms", F.expr("t1_ns div 1000000"))
 
 
 @query("session_runner")
 def session_runner(s, d):
-    m = A.bbo(s, d).selectExpr("venue AS connection", "ord", "t1_ns div 1000000 AS now_ms", "if(k % 9 = 0, 'heartbeat', 'ticker') AS type", "CAST(market_id AS STRING) AS product_id", "sequence", "ord AS trade_id")
-    return folds.session(m.withColumn("connection", F.col("connection").cast("long")))
+    return folds.session(_run(s, d))
+
+
+@query("session_runner_stats")
+def session_runner_stats(s, d):
+    read = _run(s, d)
+    return session.counters(read.join(folds.session(read), ["connection", "ord"]), acted=True)
+
 
+_TRACKED = """m AS (SELECT market_id, list({'ord': ord, 'snap': k % 50 = 0, 'a': ord * 2, 'b': ord * 2 + 40 + k} ORDER BY ord) AS l FROM bbo GROUP BY market_id),
+t AS (SELECT market_id, list_reduce(l, lambda s, x: CASE WHEN x.snap THEN {'last': x.b, 'status': 'in_sync', 'gaps': s.gaps, 'o': list_append(s.o, {'ok': true, 'status': 'in_sync', 'expected': NULL::BIGINT, 'gaps': s.gaps})}
+  WHEN s.status = 'synchronizing' THEN {'last': s.last, 'status': s.status, 'gaps': s.gaps, 'o': list_append(s.o, {'ok': false, 'status': s.status, 'expected': s.last + 1, 'gaps': s.gaps})}
+  WHEN x.a <= s.last + 1 AND s.last + 1 <= x.b THEN {'last': x.b, 'status': s.status, 'gaps': s.gaps, 'o': list_append(s.o, {'ok': true, 'status': s.status, 'expected': s.last + 1, 'gaps': s.gaps})}
+  WHEN x.b > s.last THEN {'last': s.last, 'status': 'gap', 'gaps': s.gaps + 1, 'o': list_append(s.o, {'ok': false, 'status': 'gap', 'expected': s.last + 1, 'gaps': s.gaps + 1})}
+  ELSE {'last': s.last, 'status': s.status, 'gaps': s.gaps, 'o': list_append(s.o, {'ok': false, 'status': s.status, 'expected': s.last + 1, 'gaps': s.gaps})} END,
+  {'last': 0::BIGINT, 'status': 'synchronizing', 'gaps': 0::BIGINT, 'o': []::STRUCT(ok BOOLEAN, status VARCHAR, expected BIGINT, gaps BIGINT)[]}).o AS o, l FROM m),
+u AS (SELECT market_id, unnest(l).ord AS ord, unnest(o) AS o FROM t)"""
 
-@query("sequence_tracker")
+
+@query("sequence_tracker", f"WITH {BBO}, {_TRACKED} SELECT market_id, ord, o.ok AS accepted, o.status AS status, o.expected AS expected, o.gaps AS gaps FROM u")
 def sequence_tracker(s, d):
     m = A.bbo(s, d).selectExpr("market_id", "ord", "if(k % 50 = 0, 'snapshot', 'delta') AS kind", "ord * 2 AS first_seq", "ord * 2 + 40 + k AS final_seq")
     return folds.sequence_tracker(m)
@@ -384,9 +538,17 @@ def sequence_tracker(s, d):
 
 @query("ring_read", f"WITH {BBO}, r AS (SELECT market_id, ord, row_number() OVER (PARTITION BY market_id ORDER BY ord) AS seq, count(*) OVER (PARTITION BY market_id) AS head FROM bbo) SELECT market_id, ord, seq, greatest(head - 64, 0) AS missed FROM r WHERE seq > head - 64")
 def ring_read(s, d):
-    w = Window.partitionBy("market_id")
-    r = A.bbo(s, d).withColumn("seq", F.row_number().over(w.orderBy("ord")).cast("bigint")).withColumn("head", F.count("*").over(w))
-    return r.filter("seq > head - 64").select("market_id", "ord", "seq", F.expr("greatest(head - 64, 0L)").alias("missed"))
+    held = rings.content(A.bbo(s, d).select("market_id", "ord"))
+    return held.select("market_id", "ord", F.col("seq").cast("bigint").alias("seq"), F.expr("greatest(head - 64, 0L)").alias("missed"))
+
+
+_HELD = "r AS (SELECT market_id, ord, row_number() OVER (PARTITION BY market_id ORDER BY ord) AS seq FROM bbo), h AS (SELECT market_id, max(seq) AS head FROM r GROUP BY 1), x AS (SELECT c_custkey AS reader, c_custkey % 11 + 1 AS market_id, coalesce(head, 0) AS head, CASE WHEN c_custkey % 5 = 0 THEN coalesce(head, 0) ELSE c_custkey * 13 % 150 END AS cursor FROM customer LEFT JOIN h ON c_custkey % 11 + 1 = h.market_id), y AS (SELECT *, CASE WHEN cursor >= head THEN 'empty' WHEN head > cursor + 64 THEN 'overrun' ELSE 'ok' END AS status FROM x)"
+
+
+@query("ring_cursor_reads", f"WITH {BBO}, {_HELD} SELECT reader, status, CASE status WHEN 'overrun' THEN y.head - cursor - 64 ELSE 0 END AS missed, CASE status WHEN 'ok' THEN cursor + 1 WHEN 'overrun' THEN y.head - 64 ELSE cursor END AS next, r.ord AS ord FROM y LEFT JOIN r ON status = 'ok' AND r.market_id = y.market_id AND r.seq = cursor + 1")
+def ring_cursor_reads(s, d):
+    readers = A.read(s, d, "customer").selectExpr("c_custkey AS reader", "c_custkey % 11 + 1 AS market_id", "if(c_custkey % 5 = 0, NULL, c_custkey * 13 % 150) AS cursor")
+    return rings.reads(readers, rings.content(A.bbo(s, d).select("market_id", "ord"))).select("reader", "status", F.col("missed").cast("bigint").alias("missed"), F.col("next").cast("bigint").alias("next"), "ord")
 
 
 @query("queue_drop_newest", f"WITH {BBO} SELECT market_id, ord FROM bbo QUALIFY row_number() OVER (PARTITION BY market_id ORDER BY ord) <= 32")
@@ -399,71 +561,78 @@ def queue_drop_oldest(s, d):
     return folds.bounded_queue(A.bbo(s, d).select("market_id", "ord"), ["market_id"], "ord", 32, True)
 
 
-@query("rx_ring", f"WITH {BBO}, r AS (SELECT venue, row_number() OVER (PARTITION BY venue ORDER BY ord) AS i FROM bbo) SELECT venue, count(*) FILTER (i <= 512) AS received, count(*) FILTER (i > 512) AS dma_errors FROM r GROUP BY venue")
+@query("queue_counters", f"WITH {BBO}, n AS (SELECT market_id AS queue, count(*) AS n FROM bbo GROUP BY 1) SELECT queue, policy, least(n, 32) AS enqueued, CASE policy WHEN 'drop_newest' THEN greatest(n - 32, 0) ELSE 0 END AS dropped, CASE policy WHEN 'drop_oldest' THEN greatest(n - 32, 0) ELSE 0 END AS evicted, 0::BIGINT AS consumed, greatest(n - 32, 0) AS saturations FROM n, (VALUES ('drop_newest'), ('drop_oldest')) p(policy)")
+def queue_counters(s, d):
+    ops = A.bbo(s, d).select(F.col("market_id").alias("queue"), "ord", F.lit("push").alias("op"))
+    return folds.queue_counters(folds.queue(ops, 32, False)).withColumn("policy", F.lit("drop_newest")).unionByName(folds.queue_counters(folds.queue(ops, 32, True)).withColumn("policy", F.lit("drop_oldest")))
+
+
+@query("queue_with_pops")
+def queue_with_pops(s, d):
+    ops = A.bbo(s, d).selectExpr("market_id AS queue", "ord", "if(ord * 7919 % 10 < 3, 'pop', 'push') AS op")
+    return folds.queue(ops, 8, True)
+
+
+@query("rx_ring", "WITH r AS (SELECT event_type AS source, length(repeat(props, 1 + event_id % 300)) AS n, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i FROM events) SELECT source, count(*) FILTER (i <= 512) AS packets, sum(least(n, 2048)) FILTER (i <= 512)::BIGINT AS bytes, count(*) FILTER (i <= 512 AND n > 2048) AS cut, count(*) FILTER (i > 512) AS dma_errors FROM r GROUP BY source")
 def rx_ring(s, d):
-    return router.ranked(A.bbo(s, d), ["venue"], ["ord"]).groupBy("venue").agg(F.count_if(F.col("seq") <= 512).alias("received"), F.count_if(F.col("seq") > 512).alias("dma_errors"))
+    packets = A.read(s, d, "events").selectExpr("event_type AS source", "event_id AS ord", "repeat(props, CAST(1 + event_id % 300 AS INT)) AS payload")
+    return rings.receive_counters(packets, "source", "ord", "payload")
 
 
-# encoders and signals
+@query("websocket_commands", f"WITH {BBO} SELECT ord, CASE k % 6 WHEN 0 THEN 'ping' WHEN 1 THEN 'disconnect' WHEN 5 THEN 'pong' WHEN 4 THEN 'ping' ELSE 'subscribe' END AS event, CASE WHEN k % 6 IN (2, 3) AND ord % 50 >= 25 THEN 'not found' END AS error, CASE k % 6 WHEN 0 THEN 4 WHEN 1 THEN 2 WHEN 4 THEN 23 + length(ord::VARCHAR) WHEN 5 THEN NULL ELSE CASE WHEN ord % 50 < 25 THEN 32 + length((72057594037927936 + market_id * 4294967296 + 16777216 + flags)::VARCHAR) END END::INTEGER AS bytes FROM bbo")
+def websocket_commands(s, d):
+    """Masked frames of clients, of which half are registered, and the bytes of what each is answered."""
+    from ..operators.codec import frame, unmasked
 
-@query("trade_quote_qty", f"WITH {TRADES} SELECT trade_id, (CASE WHEN price_px8 > 0 THEN price_px8::HUGEINT * size_qty8 // 100000000 ELSE 0 END)::BIGINT AS quote_qty8 FROM trades")
-def trade_quote_qty(s, d):
-    return A.trades(s, d).select("trade_id", F.expr("if(price_px8 > 0, CAST(price_px8 AS DECIMAL(19,0)) * CAST(size_qty8 AS DECIMAL(19,0)) div 100000000, 0L)").alias("quote_qty8"))
+    def masked(row: dict) -> list[tuple]:
+        opcode, body = {0: (9, b"hi"), 1: (8, b""), 5: (10, b""), 4: (1, b'{"action":"ping"}')}.get(row["k"] % 6, (1, f'{{"action":"subscribe","venue":1,"market_id":{row["market_id"]},"stream_type":1,"flags":{row["flags"]}}}'.encode()))
+        mask, sent = (row["ord"] * 7919).to_bytes(8, "big")[-4:], frame(opcode, body)
+        return [(row["ord"] % 50, row["ord"], row["ord"], sent[:1] + bytes([sent[1] | 128]) + mask + unmasked(body, mask))]
 
+    frames = amm.mapped(A.bbo(s, d).select("ord", "k", "market_id", "flags"), "client_id long, ord long, now_ms long, data binary", masked)
+    answered = websocket.answers(frames, s.range(25).withColumnRenamed("id", "client_id"))
+    return answered.select("ord", "event", "error", F.octet_length("response").alias("bytes"))
 
-def _json(fields: list[tuple[str, str, bool]]) -> str:
-    return " || ',' || ".join(f"'\"{n}\":' || " + (f"'\"' || {TEXT8(c)} || '\"'" if q else f"({c})::VARCHAR") for n, c, q in fields)
 
+# encoders and signals
 
-_TEL = "',\"telemetry\":{\"t0\":' || t0_ns || ',\"t1\":' || t1_ns || ',\"t2\":' || t2_ns || ',\"t3\":' || t3_ns || '}}'"
+@query("trade_quote_qty", f"WITH {TRADES} SELECT trade_id, (CASE WHEN price_px8 > 0 THEN price_px8::HUGEINT * size_qty8 // 100000000 ELSE 0 END)::BIGINT AS quote_qty8 FROM trades")
+def trade_quote_qty(s, d):
+    return A.trades(s, d).select("trade_id", F.expr("if(price_px8 > 0, CAST(price_px8 AS DECIMAL(19,0)) * CAST(size_qty8 AS DECIMAL(19,0)) div 100000000, 0L)").alias("quote_qty8"))
 
 
-@query("bbo_json", f"WITH {BBO} SELECT ord, '{{\"type\":\"bbo\",' || " + _json([("market_id", "market_id", False), ("venue", "venue", False), ("chain", "chain", False), ("sequence", "sequence", False), ("bid_px", "bid_px8", True), ("bid_qty", "bid_qty8", True), ("ask_px", "ask_px8", True), ("ask_qty", "ask_qty8", True), ("spread_bps", "spread_bps", False), ("flags", "flags", False)]) + f" || {_TEL} AS json FROM bbo")
+@query("bbo_json", f"WITH {BBO} SELECT ord, {_BBO_TEXT} AS json FROM bbo")
 def bbo_json(s, d):
     return A.bbo(s, d).select("ord", codec.quote_json().alias("json"))
 
 
-_STAMPED = f"{TRADES}, t AS (SELECT *, 0 AS chain, ord * 1000 AS t0_ns, ord * 1000 + 1 AS t1_ns, ord * 1000 + 2 AS t2_ns, ord * 1000 + 3 AS t3_ns FROM trades)"
-
-
 def _stamped(s, d) -> DataFrame:
     return A.trades(s, d).withColumn("chain", F.lit(0)).withColumns({f"t{i}_ns": F.col("ord") * 1000 + i for i in range(4)})
 
 
-@query("trade_json", f"WITH {_STAMPED} SELECT ord, '{{\"type\":\"trade\",' || " + _json([("market_id", "market_id", False), ("venue", "venue", False), ("chain", "chain", False), ("sequence", "sequence", False), ("trade_id", "trade_id", False), ("price", "price_px8", True), ("size", "size_qty8", True), ("side", "side", False), ("is_liquidation", "is_liquidation", False)]) + f" || {_TEL} AS json FROM t")
+@query("trade_json", f"WITH {_STAMPED} SELECT ord, {_TRADE_TEXT} AS json FROM t")
 def trade_json(s, d):
     return _stamped(s, d).select("ord", codec.trade_json().alias("json"))
 
 
-@query("sbe_quote_roundtrip", f"WITH {BBO} SELECT ord, venue, market_id, sequence, bid_px8, bid_qty8, ask_px8, ask_qty8, spread_bps, t3_ns, 92 AS bytes FROM bbo")
+@query("sbe_quote_roundtrip", f"WITH {BBO} SELECT ord, venue::BIGINT AS venue, market_id, sequence, bid_px8, bid_qty8, ask_px8, ask_qty8, spread_bps::BIGINT AS spread_bps, t3_ns, 92 AS bytes FROM bbo")
 def sbe_quote_roundtrip(s, d):
-    def both(row: dict) -> list[tuple]:
-        data = codec.quote_bytes(row)
-        back = codec.quote_row(data)
-        return [(row["ord"], *(back[k] for k in ("venue", "market_id", "sequence", "bid_px8", "bid_qty8", "ask_px8", "ask_qty8", "spread_bps", "t3_ns")), len(data))]
-
-    return amm.mapped(A.bbo(s, d), "ord long, venue int, market_id long, sequence long, bid_px8 long, bid_qty8 long, ask_px8 long, ask_qty8 long, spread_bps int, t3_ns long, bytes int", both)
+    names = ["venue", "market_id", "sequence", "bid_px8", "bid_qty8", "ask_px8", "ask_qty8", "spread_bps", "t3_ns"]
+    back = codec.decode(codec.encode(A.bbo(s, d).select("ord", *codec.QUOTE_FIELDS), 1).select("ord", "sbe"), 1)
+    return back.select("ord", *(F.col("message").getField(n).alias(n) for n in names), F.octet_length("sbe").alias("bytes"))
 
 
-@query("sbe_trade_roundtrip", f"WITH {TRADES} SELECT ord, trade_id, price_px8, size_qty8, side, is_liquidation, 95 AS bytes FROM trades")
+@query("sbe_trade_roundtrip", f"WITH {TRADES} SELECT ord, trade_id, price_px8, size_qty8, side::BIGINT AS side, is_liquidation, 95 AS bytes, (CASE WHEN price_px8 > 0 THEN price_px8::HUGEINT * size_qty8 // 100000000 ELSE 0 END)::BIGINT AS quote_qty8 FROM trades")
 def sbe_trade_roundtrip(s, d):
-    def both(row: dict) -> list[tuple]:
-        data = codec.trade_bytes(row)
-        back = codec.trade_row(data)
-        return [(row["ord"], back["trade_id"], back["price_px8"], back["size_qty8"], back["side"], back["is_liquidation"], len(data))]
-
-    return amm.mapped(_stamped(s, d), "ord long, trade_id long, price_px8 long, size_qty8 long, side int, is_liquidation boolean, bytes int", both)
+    back = codec.decode(codec.encode(_stamped(s, d).select("ord", *codec.TRADE_FIELDS[:12], "is_liquidation"), 3).select("ord", "sbe"), 3)
+    quote = F.conv(F.concat(*(F.hex(F.substring("sbe", i, 1)) for i in range(89, 81, -1))), 16, 10).cast("bigint")
+    return back.select("ord", *(F.col("message").getField(n).alias(n) for n in ("trade_id", "price_px8", "size_qty8", "side", "is_liquidation")), F.octet_length("sbe").alias("bytes"), quote.alias("quote_qty8"))
 
 
 @query("ws_frame_roundtrip", "SELECT event_id, props, octet_length(encode(props)) + 2 AS bytes FROM events")
 def ws_frame_roundtrip(s, d):
-    def both(row: dict) -> list[tuple]:
-        sent = codec.frame(1, row["props"].encode())
-        mask = row["event_id"].to_bytes(8, "big")[-4:]
-        masked = sent[:1] + bytes([sent[1] | 128]) + mask + codec.unmasked(sent[2:], mask)
-        return [(row["event_id"], codec.inbound(masked)[1].decode(), len(sent))]
-
-    return amm.mapped(A.read(s, d, "events").select("event_id", "props"), "event_id long, props string, bytes long", both)
+    sent = A.read(s, d, "events").select("event_id", codec.framed(1, F.encode("props", "UTF-8")).alias("data"))
+    return codec.opened(sent).select("event_id", F.decode("body", "UTF-8").alias("props"), F.octet_length("data").cast("bigint").alias("bytes"))
 
 
 @query("cross_venue_arb", f"WITH {BBO}, q AS (SELECT t0_ns // 60000000000 AS minute, market_id, venue, max(bid_px8) AS bid, min(ask_px8) AS ask FROM bbo GROUP BY 1, 2, 3) SELECT a.minute, a.market_id, a.venue AS sell, b.venue AS buy, (a.bid - b.ask) * 10000 // b.ask AS bps FROM q a JOIN q b ON a.minute = b.minute AND a.market_id = b.market_id AND a.venue <> b.venue AND a.bid > b.ask")
@@ -494,7 +663,24 @@ def _reserves(row: dict) -> tuple[int, int]:
 
 @query("v2_spot", f"WITH {_RESERVES} SELECT pool, spot::BIGINT AS spot_px8 FROM sp")
 def v2_spot(s, d):
-    return amm.mapped(_pools(s, d), "pool long, spot_px8 long", lambda r: [(r["pool"], amm.v2_spot(*_reserves(r)))])
+    reserves = _pools(s, d).selectExpr("pool", "CAST(p_size + 1 AS DECIMAL(18,0)) * CAST(1000000000000000000 AS DECIMAL(19,0)) AS rb", "CAST(cents * 10000 * (p_size + 1) AS DECIMAL(18,0)) AS rq")
+    return reserves.select("pool", amm.v2_spot_column(F.col("rb"), F.col("rq")).alias("spot_px8"))
+
+
+@query("sqrt_spot", "WITH p AS (SELECT p_partkey AS pool, (p_partkey * 7919 % 1000003)::HUGEINT AS x FROM part) SELECT pool, ((x * x * 68719476736 // 4294967296 * 68719476736 * 100000000 + 9223372036854775808) // 18446744073709551616)::BIGINT AS spot_px8 FROM p")
+def sqrt_spot(s, d):
+    """Of concentrated-liquidity pools of either version, by the square root of the price in 96 bits."""
+    pools = A.read(s, d, "part").selectExpr("p_partkey AS pool", "p_partkey * 7919 % 1000003 AS x")
+    return amm.mapped(pools, "pool long, spot_px8 long", lambda r: [(r["pool"], amm.sqrt_spot(r["x"] << 84))])
+
+
+_FLAGS = "p_partkey * 7919 % 65536"
+
+
+@query("hook_flags", f"SELECT p_partkey AS pool, ({_FLAGS})::INTEGER AS flags, " + ", ".join(f"({_FLAGS}) & {1 << i} <> 0 AS {n}" for i, n in enumerate(S.HOOKS)) + ", p_size % 3 = 0 AS dynamic_fee FROM part")
+def hook_flags(s, d):
+    pools = A.read(s, d, "part").select(F.col("p_partkey").alias("pool"), F.unhex(F.concat(F.lpad(F.hex(F.expr(_FLAGS)), 4, "0"), F.repeat(F.lit("AB"), 18))).alias("hooks"), F.when(F.col("p_size") % 3 == 0, 0x800000).otherwise(500).alias("fee"))
+    return pools.select("pool", S.hook_flags(F.col("hooks")).alias("flags"), *(S.has_hook(F.col("hooks"), n).alias(n) for n in S.HOOKS), S.has_dynamic_fee(F.col("fee")).alias("dynamic_fee"))
 
 
 @query("v2_book")

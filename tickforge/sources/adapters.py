@@ -62,3 +62,14 @@ def ticker_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit('"trade_id":'), (F.col("ord") + 1000).cast("string")), F.concat(quoted("last_size", S.text8(F.col("bid_qty8"))), F.lit("}")),
     )
     return b.select("ord", "market_id", "t1_ns", "k", payload.alias("payload"))
+
+
+def session_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a recorded session holds: tickers, heartbeats, errors, acknowledgements, broken texts, and products that nobody asked for."""
+    t = ticker_messages(spark, sf_dir).withColumns({"seq": F.expr("ord div 3 * 3 + ord * 7919 % 4").cast("string"), "tid": F.expr("ord div 40 + ord * 31 % 3").cast("string")})
+    named = F.concat(F.lit('"product_id":"M-'), F.col("market_id").cast("string"), F.lit('"'))
+    ticker = F.regexp_replace(F.regexp_replace("payload", F.lit('"sequence":[0-9]+'), F.concat(F.lit('"sequence":'), F.col("seq"))), F.lit('"trade_id":[0-9]+'), F.concat(F.lit('"trade_id":'), F.col("tid")))
+    ticker = F.when(F.col("k") % 19 == 4, F.regexp_replace(ticker, "best_ask_size", "best_ask_sizes")).otherwise(ticker)
+    heartbeat = F.concat(F.lit('{"type":"heartbeat","sequence":'), F.col("seq"), F.lit(',"last_trade_id":'), F.col("tid"), F.lit(","), named, F.lit("}"))
+    text = F.when(F.col("k") % 13 == 0, "not json").when(F.col("k") % 11 == 0, '{"type":"error","message":"no"}').when(F.col("k") % 17 == 3, '{"type":"subscriptions","channels":[]}').when(F.col("k") % 5 == 1, heartbeat).otherwise(ticker)
+    return t.select("ord", "t1_ns", text.alias("payload"))

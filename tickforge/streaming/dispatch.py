@@ -16,8 +16,7 @@ def run(quotes: DataFrame, subscriptions: DataFrame, clients: DataFrame, out: st
     """Delivery counts of each quote, appended to `out`: every micro-batch runs the batch plan, so both give the same rows."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        judged = router.verdicts(router.fan_out(rows, subscriptions, 1), clients, 1)
-        router.metrics(judged).write.mode("overwrite").parquet(f"{out}/batch={number}")  # a repeated batch replaces itself
+        router.metrics(router.dispatch(rows, subscriptions, clients, 1)).write.mode("overwrite").parquet(f"{out}/batch={number}")  # a repeated batch replaces itself
 
     writer = quotes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
