@@ -14,11 +14,13 @@ def fixed8(text: Column) -> Column:
     Only a leading minus, points and digits count: "1e5" is 15, "abc" and "" are 0, and decimals are those behind the last
     point. Null for null, and where the digits don't fit in a long; never an error.
     """
+    clean = text.rlike(r"^-?[0-9]{1,10}(\.[0-9]{1,8})?$")
+    exact = (text.try_cast("decimal(18,8)") * F.lit(SCALE).cast("decimal(10,0)")).cast("decimal(28,0)").cast("bigint")
     digits = F.regexp_replace(text, "[^0-9]", "")
     decimals = F.length(F.regexp_replace(F.regexp_extract(text, r"\.([^.]*)$", 1), "[^0-9]", ""))
     scaled = F.when(decimals <= 8, F.concat(F.lit("0"), digits, F.repeat(F.lit("0"), 8 - decimals))).otherwise(F.concat(F.lit("0"), F.left(digits, F.length(digits) - decimals + 8)))
     value = scaled.try_cast("bigint")
-    return F.when(text.startswith("-"), -value).otherwise(value)
+    return F.when(clean, exact).when(text.startswith("-"), -value).otherwise(value)
 
 
 def text8(value: Column) -> Column:
@@ -34,10 +36,13 @@ def iso_ns(text: Column) -> Column:
     """
     ok = text.rlike(r"^\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])T([01]\d|2[0-3]):[0-5]\d:([0-5]\d|60)(\.\d*)?Z$")
     part = lambda at, n: F.substring(text, at, n).try_cast("int")
-    month = F.unix_date(F.try_to_date(F.concat(F.substring(text, 1, 7), F.lit("-01")), "yyyy-MM-dd")).cast("bigint")
-    seconds = (month + part(9, 2) - 1) * 86_400 + part(12, 2) * 3600 + part(15, 2) * 60 + part(18, 2)
+    whole = lambda a, b: F.floor(a / b).cast("bigint")
+    month, day = part(6, 2), part(9, 2)
+    year = part(1, 4) - F.when(month <= 2, 1).otherwise(0)  # years from March, so that a leap day is the last
+    days = year * 365 + whole(year, 4) - whole(year, 100) + whole(year, 400) + whole(153 * ((month + 9) % 12) + 2, 5) + day - 719_469
+    seconds = days.cast("bigint") * 86_400 + part(12, 2) * 3600 + part(15, 2) * 60 + part(18, 2)
     fraction = F.rpad(F.substring(F.regexp_extract(text, r"\.(\d*)Z$", 1), 1, 9), 9, "0").try_cast("bigint")
-    return F.when(ok & (month + part(9, 2) - 1 >= 0), F.try_add(F.try_multiply(seconds, F.lit(1_000_000_000).cast("bigint")), fraction))
+    return F.when(ok, F.when(days >= 0, F.try_add(F.try_multiply(seconds, F.lit(1_000_000_000).cast("bigint")), fraction)))
 
 
 def spread_bps(bid: Column, ask: Column) -> Column:
@@ -72,8 +77,8 @@ def quantile_at(values: Column, numerator: int, denominator: int) -> Column:
 
 def scanned(payload: Column, key: str) -> Column:
     """The text value of the first `"key":` at any depth, a string up to the next quote or a bare number; null if there is none."""
-    pattern = f'"{key}":[ \\t]*(?:"([^"]*)"|([^",}}\\]\\s][^,}}\\]\\s]*))'
-    return F.when(payload.rlike(pattern), F.concat(F.regexp_extract(payload, pattern, 1), F.regexp_extract(payload, pattern, 2)))
+    found = F.regexp_extract(payload, f'"{key}":[ \\t]*("[^"]*"|[^",}}\\]\\s][^,}}\\]\\s]*)', 1)
+    return F.btrim(F.nullif(found, F.lit("")), F.lit('"'))
 
 
 # Numbers of venues, chains and sides.

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,20 +19,27 @@ def _ns(ms: Column) -> Column:
     return F.coalesce(F.try_multiply(_long(ms), F.lit(1_000_000).cast("bigint")), F.lit(0).cast("bigint"))
 
 
-def _parsed(messages: DataFrame, fields: dict[str, Column], required: list[str]) -> DataFrame:
-    out = messages.select("*", *(c.alias(n) for n, c in fields.items()))
-    ok = F.lit(True)
-    for n in required:
-        ok = ok & F.col(n).isNotNull()
-    return out.withColumn("ok", ok)
+class _Texts:
+    """The texts of some keys of a payload, cut out once in a projection of their own."""
+
+    def __init__(self, messages: DataFrame, *keys: str):
+        self.keys, self.columns = keys, messages.columns
+        self.rows = messages.withColumn("__ps_texts", F.array(*(S.scanned(F.col("payload"), k) for k in keys)))
+
+    def __getitem__(self, key: str) -> Column:
+        return F.get("__ps_texts", F.lit(self.keys.index(key)))
 
+    def parsed(self, fields: dict[str, Column], required: list[str]) -> DataFrame:
+        """The messages with `fields`, and ok where all of the required ones are there."""
+        kept = [c for c in self.columns if c.lower() not in {n.lower() for n in fields}]
+        out = self.rows.select(*kept, *(c.alias(n) for n, c in fields.items()))
+        return out.withColumn("ok", reduce(and_, (F.col(n).isNotNull() for n in required)))
 
-def _get(key: str) -> Column:
-    return S.scanned(F.col("payload"), key)
+    def quote(self, bid: str, bid_size: str, ask: str, ask_size: str) -> dict[str, Column]:
+        return {"bid_px8": S.fixed8(self[bid]), "bid_qty8": S.fixed8(self[bid_size]), "ask_px8": S.fixed8(self[ask]), "ask_qty8": S.fixed8(self[ask_size])}
 
 
-def _quote(bid: str, bid_size: str, ask: str, ask_size: str) -> dict[str, Column]:
-    return {"bid_px8": S.fixed8(_get(bid)), "bid_qty8": S.fixed8(_get(bid_size)), "ask_px8": S.fixed8(_get(ask)), "ask_qty8": S.fixed8(_get(ask_size))}
+QUOTED = ["bid_px8", "bid_qty8", "ask_px8", "ask_qty8"]
 
 
 def _with_spread(df: DataFrame) -> DataFrame:
@@ -42,46 +52,56 @@ def quarantined(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return parsed.filter("ok").drop("ok"), parsed.filter("not ok").drop("ok")
 
 
+def _zero(text: Column) -> Column:
+    return F.coalesce(_long(text), F.lit(0).cast("bigint"))
+
+
 def binance_bbo(messages: DataFrame) -> DataFrame:
-    f = _quote("b", "B", "a", "A") | {"t0_ns": _ns(_get("E")), "sequence": F.coalesce(_long(_get("u")), F.lit(0).cast("bigint"))}
-    return _with_spread(_parsed(messages, f, ["bid_px8", "bid_qty8", "ask_px8", "ask_qty8"])).withColumn("venue", F.lit(1))
+    t = _Texts(messages, "b", "B", "a", "A", "E", "u")
+    fields = t.quote("b", "B", "a", "A") | {"t0_ns": _ns(t["E"]), "sequence": _zero(t["u"])}
+    return _with_spread(t.parsed(fields, QUOTED)).withColumn("venue", F.lit(1))
 
 
 def binance_trade(messages: DataFrame) -> DataFrame:
-    trade = F.coalesce(_long(_get("t")), F.lit(0).cast("bigint"))
+    t = _Texts(messages, "p", "q", "T", "t")
     maker = F.col("payload").rlike('"m":[ \\t]*true')
-    f = {"price_px8": S.fixed8(_get("p")), "size_qty8": S.fixed8(_get("q")), "t0_ns": _ns(_get("T")), "trade_id": trade, "sequence": trade, "side": F.when(maker, 2).otherwise(1)}
-    return _parsed(messages, f, ["price_px8", "size_qty8"]).withColumn("venue", F.lit(1))
+    fields = {"price_px8": S.fixed8(t["p"]), "size_qty8": S.fixed8(t["q"]), "t0_ns": _ns(t["T"]), "trade_id": _zero(t["t"]), "sequence": _zero(t["t"]), "side": F.when(maker, 2).otherwise(1)}
+    return t.parsed(fields, ["price_px8", "size_qty8"]).withColumn("venue", F.lit(1))
 
 
 def okx_bbo(messages: DataFrame) -> DataFrame:
     """The time is a plain count of milliseconds, which is also the sequence."""
-    ms = F.coalesce(_long(_get("ts")), F.lit(0).cast("bigint"))
-    f = _quote("bidPx", "bidSz", "askPx", "askSz") | {"t0_ns": _ns(_get("ts")), "sequence": ms}
-    return _with_spread(_parsed(messages, f, ["bid_px8", "bid_qty8", "ask_px8", "ask_qty8"])).withColumn("venue", F.lit(4))
+    t = _Texts(messages, "bidPx", "bidSz", "askPx", "askSz", "ts")
+    fields = t.quote("bidPx", "bidSz", "askPx", "askSz") | {"t0_ns": _ns(t["ts"]), "sequence": _zero(t["ts"])}
+    return _with_spread(t.parsed(fields, QUOTED)).withColumn("venue", F.lit(4))
 
 
 def coinbase_bbo(messages: DataFrame) -> DataFrame:
-    f = _quote("best_bid", "best_bid_size", "best_ask", "best_ask_size") | {"sequence": _long(_get("sequence")), "t0_ns": F.coalesce(S.iso_ns(_get("time")), F.lit(0).cast("bigint"))}
-    return _with_spread(_parsed(messages, f, ["bid_px8", "bid_qty8", "ask_px8", "ask_qty8", "sequence"])).withColumn("venue", F.lit(2))
+    t = _Texts(messages, "best_bid", "best_bid_size", "best_ask", "best_ask_size", "sequence", "time")
+    fields = t.quote("best_bid", "best_bid_size", "best_ask", "best_ask_size") | {"sequence": _long(t["sequence"]), "t0_ns": F.coalesce(S.iso_ns(t["time"]), F.lit(0).cast("bigint"))}
+    return _with_spread(t.parsed(fields, [*QUOTED, "sequence"])).withColumn("venue", F.lit(2))
 
 
 def coinbase_trade(messages: DataFrame) -> DataFrame:
-    f = {"price_px8": S.fixed8(_get("price")), "size_qty8": S.fixed8(_get("last_size")), "side_text": _get("side"), "trade_id": _long(_get("trade_id")), "sequence": F.coalesce(_long(_get("sequence")), F.lit(0).cast("bigint"))}
-    out = _parsed(messages, f, ["price_px8", "size_qty8", "side_text", "trade_id"])
+    t = _Texts(messages, "price", "last_size", "side", "trade_id", "sequence")
+    fields = {"price_px8": S.fixed8(t["price"]), "size_qty8": S.fixed8(t["last_size"]), "side_text": t["side"], "trade_id": _long(t["trade_id"]), "sequence": _zero(t["sequence"])}
+    out = t.parsed(fields, ["price_px8", "size_qty8", "side_text", "trade_id"])
     return out.withColumn("side", F.when(F.col("side_text") == "sell", 2).otherwise(1)).withColumn("venue", F.lit(2)).drop("side_text")
 
 
 def message_fields(messages: DataFrame) -> DataFrame:
     """type, product_id, sequence and trade_id (else last_trade_id) of any message."""
-    return messages.select("*", _get("type").alias("type"), _get("product_id").alias("product_id"), _long(_get("sequence")).alias("sequence"), F.coalesce(_long(_get("trade_id")), _long(_get("last_trade_id"))).alias("trade_id"))
+    t = _Texts(messages, "type", "product_id", "sequence", "trade_id", "last_trade_id")
+    fields = {"type": t["type"], "product_id": t["product_id"], "sequence": _long(t["sequence"]), "trade_id": F.coalesce(_long(t["trade_id"]), _long(t["last_trade_id"]))}
+    return t.parsed(fields, ["type"]).drop("ok")
 
 
 def client_command(messages: DataFrame) -> DataFrame:
     """ping, pong, subscribe or unsubscribe, by the first that the text has; an unsubscription's flags are 0."""
     said = lambda word: F.col("payload").rlike(f'"(action|type)": ?"{word}"')
+    get = lambda key: _long(S.scanned(F.col("payload"), key))
     action = F.when(said("ping"), "ping").when(said("pong"), "pong").when(said("subscribe"), "subscribe").when(said("unsubscribe"), "unsubscribe")
-    key = S.topic_key(_long(_get("venue")), _long(_get("market_id")), _long(_get("stream_type")), F.when(F.col("action") == "subscribe", F.coalesce(_long(_get("flags")), F.lit(0))).otherwise(0))
+    key = S.topic_key(get("venue"), get("market_id"), get("stream_type"), F.when(F.col("action") == "subscribe", F.coalesce(get("flags"), F.lit(0))).otherwise(0))
     return messages.withColumn("action", action).withColumn("topic_key", F.when(F.col("action").isin("subscribe", "unsubscribe"), key))
 
 

@@ -6,7 +6,7 @@ products of its connection, so a connection is one ordered fold.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import ordered, parsers
@@ -30,13 +30,23 @@ def read_messages(messages: DataFrame, products: list[str]) -> DataFrame:
 def audit(read: DataFrame, keys: list[str], order: str = "ord", span: int = ordered.SPAN) -> DataFrame:
     """Rows of `read_messages` with action, expected, got, emits_quote and emits_trade; `keys` name a product of a connection."""
     ticker = F.col("type") == "ticker"
-    checked = read.filter("valid").withColumn("__ss_ticker", ticker.cast("long")).withColumn("__ss_tid", F.when(ticker, F.col("trade_id")))
-    x = ordered.running(checked, keys, order, {"__ss_group": ("sum", "__ss_ticker")}, span=span)
-    x = ordered.running(x, [*keys, "__ss_group"], order, {"__ss_top": ("max", "sequence")}, span=span)  # a ticker sets the last sequence, heartbeats raise it
-    x = x.withColumn("__ss_last", F.when(F.col("__ss_group") > 0, F.col("__ss_top")))
-    x = ordered.neighbour(x, keys, order, {"__ss_before": "__ss_last"}, span=span)
-    x = ordered.last_known(x, keys, order, {"__ss_ours": "__ss_tid"}, span=span)
-    x = ordered.running(x, keys, order, {"__ss_emitted": ("max", "__ss_tid")}, before=True, span=span)
+    rows = read.filter("valid").withColumns({"__ss_range": F.expr(f"CAST(floor(`{order}` / {span}) AS BIGINT)"), "__ss_tid": F.when(ticker, F.col("trade_id"))})
+    here = Window.partitionBy(*keys, "__ss_range").orderBy(order)
+    before = here.rowsBetween(Window.unboundedPreceding, -1)
+    # Within a range: its tickers so far, and the last sequence, which a ticker sets and heartbeats raise.
+    x = rows.withColumn("__ss_group", F.sum(ticker.cast("long")).over(here))
+    x = x.withColumn("__ss_top", F.max("sequence").over(Window.partitionBy(*keys, "__ss_range", "__ss_group").orderBy(order)))
+    # Over a product's ranges: what stands at the end of each, and so at the start of the next.
+    ends = x.groupBy(*keys, "__ss_range").agg(F.max("__ss_group").alias("n"), F.max_by("__ss_top", order).alias("top"), F.max_by("__ss_tid", F.when(F.col("__ss_tid").isNotNull(), F.col(order))).alias("tid"), F.max("__ss_tid").alias("most"))
+    upto = Window.partitionBy(*keys).orderBy("__ss_range")
+    earlier = upto.rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("set", F.sum("n").over(upto))
+    ends = ends.withColumn("last", F.when(F.col("set") > 0, F.max("top").over(Window.partitionBy(*keys, "set").orderBy("__ss_range"))))
+    carry = ends.select(*keys, "__ss_range", F.lag("last").over(upto).alias("__ss_last"), F.last("tid", ignorenulls=True).over(earlier).alias("__ss_carried"), F.max("most").over(earlier).alias("__ss_most"))
+    x = x.join(carry, [*keys, "__ss_range"])
+    x = x.withColumns({"__ss_since": F.lag("__ss_group").over(here), "__ss_held": F.lag("__ss_top").over(here), "__ss_own": F.last("__ss_tid", ignorenulls=True).over(before), "__ss_max": F.max("__ss_tid").over(before)})
+    x = x.withColumn("__ss_before", F.when(F.col("__ss_since") > 0, F.col("__ss_held")).when(F.col("__ss_last").isNotNull(), F.greatest("__ss_last", "__ss_held")))
+    x = x.withColumns({"__ss_ours": F.coalesce("__ss_own", "__ss_carried"), "__ss_emitted": F.greatest("__ss_max", "__ss_most")})
     regressed = F.col("sequence") <= F.col("__ss_before")
     gap = ticker & (F.col("trade_id") != F.col("__ss_ours") + 1)
     behind = ~ticker & (F.col("trade_id") > F.col("__ss_ours"))

@@ -640,7 +640,7 @@ def cross_venue_arb(s, d):
     q = A.bbo(s, d).groupBy(F.expr("t0_ns div 60000000000").alias("minute"), "market_id", "venue").agg(F.max("bid_px8").alias("bid"), F.min("ask_px8").alias("ask"))
     b = q.select("minute", "market_id", F.col("venue").alias("buy"), F.col("ask").alias("buy_ask"))
     hit = q.join(b, ["minute", "market_id"]).filter("venue <> buy AND bid > buy_ask")  # at most a row a venue on each side
-    return hit.select("minute", "market_id", F.col("venue").alias("sell"), "buy", F.expr("(bid - buy_ask) * 10000 div buy_ask").alias("bps"))
+    return hit.select("minute", "market_id", F.col("venue").alias("sell"), "buy", F.expr("(bid - buy_ask) * 10000 div nullif(buy_ask, 0)").alias("bps"))
 
 
 @query("burst_windows", f"WITH {BBO} SELECT t0_ns // 3600000000000 AS hour, count(*) AS ticks FROM bbo GROUP BY 1 HAVING count(*) >= 5")
