@@ -40,6 +40,8 @@ BINS, MISSED = 240, 1e-5
 #: Classes of a bucket whose pairs are all compared; rounds of stars for larger ones.
 SMALL, STARS = 5, 2
 TILE, TILE_SHINGLES = 1024, 400_000
+#: Unsettled buckets whose sizes are broadcast (under 20 MB).
+MOST_BUCKETS = 500_000
 _UPPER = bytes(LOWER.tobytes())
 SIGNED = "doc_id long, row_key long, n_shingles long, c1 long, c2 long, bands array<long>"
 
@@ -226,6 +228,8 @@ def _settle(members: DataFrame, texts: DataFrame, size: int, similarity: float)
     nodes = members.select("node").distinct().join(texts, F.col("node") == F.col("row_key")).select("node", "text").dropDuplicates(["node"])
     sets = materialize(nodes.mapInArrow(_sets(size), "node long, set binary"), "sets")
     sizes = members.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / TILE_SHINGLES)).cast("int").alias("chunks"))
+    sizes = materialize(sizes, "sizes")
+    sizes = F.broadcast(sizes) if sizes.count() <= MOST_BUCKETS else sizes  # so that a large bucket's members stay where they are
     tiled = members.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     tiled = tiled.select("bucket", F.least("own", "with").alias("ta"), F.greatest("own", "with").alias("tb"), (F.col("own") > F.col("with")).cast("int").alias("side"), "node", "label")
     dealt = tiled.join(sets, "node").select("bucket", "ta", "tb", "side", "node", "label", "set").repartition("bucket", "ta", "tb").sortWithinPartitions("bucket", "ta", "tb")
