@@ -48,7 +48,7 @@ def iso_ns(text: Column) -> Column:
 def spread_bps(bid: Column, ask: Column) -> Column:
     """(ask - bid) / bid in basis points, cut, in 16 bits; 0 unless ask > bid > 0; null if the spread times 10,000 is no long."""
     scaled, by = F.try_multiply(F.try_subtract(ask, bid), F.lit(10_000).cast("bigint")), F.greatest(bid, F.lit(1).cast("bigint"))
-    cut = ((scaled - scaled % by) / by).cast("bigint")
+    cut = F.call_function("div", scaled, by)  # in whole numbers: doubles are too short for it
     return F.when((bid > 0) & (ask > bid), cut.bitwiseAND(F.lit(65535).cast("bigint"))).otherwise(F.lit(0).cast("bigint")).cast("int")
 
 
