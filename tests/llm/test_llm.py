@@ -455,4 +455,8 @@ def test_toxicity_takes_whole_long_texts(spark):
 
 def test_windows_overlap_and_cover():
     text, start = toxicity.spans(np.array([0, 5, 32, 33, 100]))
-    assert [list(start[text == t]) for t in range(5)] == [[], [0], [0], [0, 1], [0, 24, 48, 68]]
+    assert [list(start[text == t]) for t in range(5)] == [[], [0], [0], [0, 1], [0, 16, 32, 48, 64, 68]]
+    whole = toxicity.WINDOW - toxicity.STRIDE + 1
+    for n in (whole, 47, 100):
+        own = toxicity.spans(np.array([n]))[1]
+        assert all(any(b <= i and i + whole <= b + toxicity.WINDOW for b in own) for i in range(n - whole + 1))

@@ -2,8 +2,8 @@
 
 Words are runs without white space and ASCII punctuation, A-Z lower-cased. A word's input is a hashed word vector and the
 mean of hashed vectors of its byte n-grams (3 to 5, with marks for both ends). Forward and backward GRUs read windows of
-`WINDOW` words, `STRIDE` apart, so neighbours overlap and every word of every text is read; attention pools a window's
-states; a text's score is that of its highest window. Training is multi-instance: each round takes the highest window of
+`WINDOW` words, `STRIDE` apart, so neighbours overlap by half and any `WINDOW - STRIDE + 1` neighbouring words stand whole in
+one; attention pools a window's states; a text's score is that of its highest window. Training is multi-instance: each round takes the highest window of
 every text under the present weights (and a random one of clean texts), as labels are of whole texts.
 
 Labels are read only where crc32(doc_id as text) mod 3 is not 1. The fit uses a bounded sample of each class: the `rows` labelled
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .store import small_batches
 from .text import APART, LOWER, give_back, mix, slices, strings, word_hashes, words
 
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16
 #: Bounds of the sample that a network is fitted to, of each class: labelled rows, and characters of their texts.
 ROWS, CHARS = 1500, 16_000_000
 #: Windows that a forward pass reads at once, and bytes of text whose windows are listed at once.
