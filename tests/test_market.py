@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import json
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -55,6 +57,24 @@ def test_simulator():
     assert sum(x[1] == "trade" for x in out) == 111
 
 
+def test_simulator_bursts():
+    whole, f = list(simulator.feed(1337, 300, 5)), simulator.Feed(1337)
+    first = list(f.burst(120, 5))
+    assert first + list(simulator.Feed(0, json.loads(json.dumps(f.state()))).burst(180, 5)) == whole
+    assert first + list(f.burst(180, 5)) == whole
+
+
+def test_simulator_stream(spark, tmp_path):
+    """Each start takes one burst more, from where the checkpoint stands, until `events` are made."""
+    spark.dataSource.register(simulator.FeedSource)
+    for rows in (40, 80, 100, 100):
+        stream = spark.readStream.format("tickforge_feed").options(seed=7, burst=40, events=100, base_ns=5).load()
+        query = stream.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start(f"{tmp_path}/out")
+        assert query.awaitTermination(120)
+        got = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").orderBy("ord").collect()]
+        assert got == list(simulator.feed(7, rows, 5))
+
+
 def test_amm():
     assert amm.v2_spot(1000 * 10**18, 2_000_000 * 10**6) == 200000000000
     assert [x[2:] for x in amm.v2_levels(1000 * 10**18, 2_000_000 * 10**6, [10, 25])] == [(200200000000, 49962600), (199800000000, 50037500), (200500000000, 124766200), (199500000000, 125234800)]
