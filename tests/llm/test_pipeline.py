@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import hashlib
 import math
+import tracemalloc
 
 import duckdb
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from tickforge.llm import bpe, toxicity
+from tickforge.llm import bpe, substrings, toxicity
 
 DATA = "/root/testdata/sf0.001"
 CLASH = ["score", "predicted", "held_out", "copy", "n_copies", "place", "n_words", "n_removed", "kept_text", "row_key", "kept", "component_id", "n_shingles", "ids", "decoded"]
@@ -168,3 +170,30 @@ def test_run(spark, known):
     got = cp.run(spark, DATA).collect()
     assert all(r.round_trip for r in got) and 0 < len(toxic) < len(source)
     assert sorted((r.doc_id, r.lang, r.source, list(r.ids)) for r in got) == sorted(want)
+
+
+def test_workers_drop_the_memos_of_other_stages(spark, docs, monkeypatch):
+    sent, frame = [], type(docs)
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, *a, send=frame.mapInArrow, **k: sent.append(f) or send(self, f, *a, **k))
+    for stage in (cp.toxic, cp.near_duplicates, cp.cut_substrings):
+        stage(spark, docs, DATA)
+    told = pa.table({"rows": [], "starts": [], "masks": []})
+    rows = pa.table({"__sd_row": pa.array([], pa.int64()), "text": pa.array([], pa.string())})
+    cut = pa.schema([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
+    calls = [lambda f=f: list(f(iter([]))) for f in sent] + [lambda: substrings._pieces(13, 6, 4)((), told, rows), lambda: substrings._removed(13, [], cut)((), told, rows)]
+    assert len(sent) >= 7
+    for call in calls:
+        bpe._codec(b"YQ== 0\n", ".")[1]["a"]
+        call()
+        assert bpe._codec.cache_info().currsize == 0
+
+
+def test_memory_of_the_words_of_a_sample():
+    column = pa.array([" ".join(f"w{(i * k) % 9973:04d}" for i in range(170_000)) for k in (3, 5, 7, 11)])
+    tracemalloc.start()
+    t = toxicity.Texts(column)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert t.counts.tolist() == [170_000] * 4 and len(t.bucket) == 9973
+    assert [t.data[t.starts[w] : t.ends[w]].tobytes() for w in t.word[-2:]] == [f"w{(i * 11) % 9973:04d}".encode() for i in (169_998, 169_999)]
+    assert peak < 15 * column.nbytes, peak / column.nbytes

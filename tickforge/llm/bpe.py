@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import small_batches
-from .text import give_back, slices
+from .text import MEMOS, give_back, slices
 
 LEAF = 8
 #: Entries of each memo in a worker (matches, short byte strings, token pairs).
@@ -163,6 +163,9 @@ def _codec(ranks: bytes, pattern: str) -> tuple[Codec, _Leaves]:
     return codec, _Leaves(codec)
 
 
+MEMOS.append(_codec.cache_clear)
+
+
 class Tokenizer:
     """Encode and decode columns of DataFrames by the ranks in a file that the driver reads (under 1 MB, sent with each task)."""
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .store import materialize, small_batches
-from .text import LOWER, mix, ngram_hashes, slices, strings, word_hashes, words
+from .text import LOWER, forget, mix, ngram_hashes, slices, strings, word_hashes, words
 
 SIZE, SIMILARITY = 2, 0.8
 BINS, MISSED = 240, 1e-5
@@ -90,6 +90,7 @@ def sign(texts: pa.Array, words_each: int = SIZE, similarity: float = SIMILARITY
 
 def _signed(words_each: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in slices(batches, "text"):
             size, c1, c2, bands = sign(b.column(2), words_each, similarity)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * bands.shape[1], pa.int32()), pa.array(bands.view(np.int64).ravel()))
@@ -125,6 +126,7 @@ def _compared(size: int, similarity: float):
     part, whole = _similar(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         known: dict[int, set] = {}
         for b in batches:
             keep = []
@@ -163,6 +165,7 @@ def _mixed(members: DataFrame, labels: DataFrame, star: int) -> tuple[DataFrame,
 
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in hashed(b.column(1), size)], pa.binary())], ["node", "set"])
 
@@ -191,6 +194,7 @@ def _settled(similarity: float):
     part, whole = _similar(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))  # noqa: B905
         for _, group in groupby(rows, key=lambda r: r[:3]):
             sides: tuple[list, list] = ([], [])

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from .fmindex import DEPTH, FMIndex
 from .store import scaled, small_batches
-from .text import give_back, ngram_hashes, slices, strings, word_hashes, words
+from .text import forget, give_back, ngram_hashes, slices, strings, word_hashes, words
 
 WINDOW, ANCHOR = 13, 6
 #: Bytes of input files for each block and shard, and their least number.
@@ -95,6 +95,7 @@ def _anchors(window: int, anchor: int, shards: int):
         return pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), of(a), of(block), of(many)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held, n, rows = [], 0, 0
         for b in slices(batches, "text"):
             _, _, _, first, h = _read(b.column(0))
@@ -114,6 +115,7 @@ def _anchors(window: int, anchor: int, shards: int):
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a partition of shards: to each block, its anchors that other documents have."""
+    forget()
     a, block, many = [], [], []
     for b in batches:
         a += [np.frombuffer(x.as_py(), np.uint64) for x in b.column(1)]
@@ -144,6 +146,7 @@ def _pieces(window: int, anchor: int, shards: int):
     """Of a block: its runs under shared anchors, to their shards, and windows that a smaller document of the block has."""
 
     def run(key: tuple, told: pa.Table, docs: pa.Table) -> pa.Table:
+        forget()
         if not told.num_rows or not docs.num_rows:
             return PIECES.empty_table()
         shared = np.unique(np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in told.column("keys")]))
@@ -245,6 +248,7 @@ def _search(window: int, shards: int, blocks: int):
             yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), of(rows), of(starts), of(masks)], schema=FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         rows = (r for b in batches for r in b.to_pylist())
         for _, group in groupby(rows, key=lambda r: r["route"]):
             held = []
@@ -265,6 +269,7 @@ def _search(window: int, shards: int, blocks: int):
 
 def _removed(window: int, names: list[str], schema: pa.Schema):
     def run(key: tuple, told: pa.Table, docs: pa.Table) -> pa.Table:
+        forget()
         cover: dict[int, list[tuple[int, int]]] = {}
         for r in told.to_pylist():
             for row, start, mask in zip(np.frombuffer(r["rows"], np.int64).tolist(), np.frombuffer(r["starts"], np.int64).tolist(), np.frombuffer(r["masks"], np.uint16).tolist()):  # noqa: B905

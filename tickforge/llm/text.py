@@ -6,7 +6,7 @@ A word is a run of bytes other than space and \\t \\n \\v \\f \\r, which in UTF-
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_BLOCK = 1 << 21
+#: Bytes that are hashed at once: some ten arrays of eight bytes for each stand beside them.
+_BLOCK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -65,6 +66,17 @@ def give_back() -> None:
         _TRIM(0)
 
 
+#: What drops the memos that workers keep from one task to the next; modules that keep some add to it.
+MEMOS: list[Callable[[], None]] = []
+
+
+def forget() -> None:
+    """Drop the memos of other operators' tasks that this worker served: idle, they would count beside what its executor does now."""
+    for drop in MEMOS:
+        drop()
+    give_back()
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in slices with about `most` bytes of text at most (a longer text is a slice of its own)."""
     for batch in batches:

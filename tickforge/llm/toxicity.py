@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import small_batches
-from .text import APART, LOWER, give_back, mix, slices, strings, word_hashes, words
+from .text import APART, LOWER, forget, give_back, mix, slices, strings, word_hashes, words
 
 WINDOW, STRIDE = 32, 16
 #: Bounds of the sample that a network is fitted to, of each class: labelled rows, and characters of their texts.
 ROWS, CHARS = 1500, 16_000_000
-#: Windows that a forward pass reads at once, and bytes of text whose windows are listed at once.
-BATCH, SLICE = 4096, 2 << 20
+#: Windows that a forward pass reads at once, bytes of text whose windows are listed and whose words are hashed at once, and words whose n-grams are.
+BATCH, SLICE, PIECE, PART = 4096, 2 << 20, 1 << 20, 1 << 13
 THRESHOLD = 0.7
 _WORDS, _GRAMS, _DW, _DC, _H, _A = 1 << 15, 1 << 16, 8, 12, 8, 8
 _D = _DW + _DC
@@ -166,12 +166,22 @@ class Texts:
     def __init__(self, column: pa.Array):
         data, at = strings(column)
         data = LOWER[data]
-        starts, ends, first = words(data, at, APART)
-        h = word_hashes(data, starts, ends)
-        _, where, self.word = np.unique(h, return_index=True, return_inverse=True)
-        self.bucket = (h[where] % np.uint64(_WORDS)).astype(np.int64)
-        self.data, self.starts, self.ends = data, starts[where], ends[where]
-        self.counts = np.diff(first)
+        found, counts, i = [(np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)], [np.zeros(0, np.int64)], 0
+        while i < len(at) - 1:  # in pieces of whole texts, each reduced to its distinct words
+            j = max(i + 1, int(np.searchsorted(at, at[i] + PIECE, "right")) - 1)
+            starts, ends, first = words(data[at[i] : at[j]], at[i : j + 1] - at[i], APART)
+            h, where, word = np.unique(word_hashes(data[at[i] : at[j]], starts, ends), return_index=True, return_inverse=True)
+            found.append((h, starts[where] + at[i], ends[where] + at[i], word.astype(np.int32)))
+            counts.append(np.diff(first))
+            i = j
+        each, starts, ends, inner = zip(*found, strict=True)
+        h, where, place = np.unique(np.concatenate(each), return_index=True, return_inverse=True)
+        parts = np.split(place.astype(np.int32), np.cumsum([len(x) for x in each])[:-1])
+        self.word = np.concatenate([part[x] for part, x in zip(parts, inner, strict=True)])
+        self.bucket = (h % np.uint64(_WORDS)).astype(np.int64)
+        self.data, self.starts, self.ends = data, np.concatenate(starts)[where], np.concatenate(ends)[where]
+        self.counts = np.concatenate(counts)
+        first = np.concatenate([[0], np.cumsum(self.counts)])
         self.text, begin = spans(self.counts)
         self.begin, self.stop = begin + first[self.text], first[self.text + 1]
 
@@ -182,8 +192,8 @@ class Texts:
 
     def inputs(self, net: Network) -> np.ndarray:
         out = np.empty((len(self.bucket), _D), np.float32)
-        for i in range(0, len(out), 1 << 16):
-            part = slice(i, i + (1 << 16))
+        for i in range(0, len(out), PART):
+            part = slice(i, i + PART)
             out[part] = net.inputs(self.bucket[part], *self.grams(part))
         return out
 
@@ -198,9 +208,19 @@ class Texts:
         return out
 
 
+def _distinct(text: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """Sorted distinct text * size + value, of values in the order of their texts; in pieces of whole texts."""
+    out, i = [np.zeros(0, np.int64)], 0
+    while i < len(text):
+        j = int(np.searchsorted(text, text[min(i + PIECE, len(text)) - 1], "right"))
+        out.append(np.unique(text[i:j] * np.int64(size) + values[i:j]))
+        i = j
+    return np.concatenate(out)
+
+
 def _log_odds(buckets: np.ndarray, text: np.ndarray, labels: np.ndarray, size: int) -> np.ndarray:
     """Of each bucket, how much more often texts of label 1 have it than others, shrunk where few texts do."""
-    seen = np.unique(text * np.int64(size) + buckets)
+    seen = _distinct(text, buckets, size)
     one = labels[seen // size] == 1
     n1, n0 = (np.bincount(seen[x] % size, minlength=size) for x in (one, ~one))
     odds = np.log((n1 + 0.3) / (labels.sum() + 0.6)) - np.log((n0 + 0.3) / ((1 - labels).sum() + 0.6))
@@ -211,14 +231,14 @@ def _start(net: Network, t: Texts, labels: np.ndarray) -> np.ndarray:
     """Put log odds in the first place of the word and n-gram vectors; a first guess of each window, by its highest word."""
     text = np.repeat(np.arange(len(labels)), t.counts)
     net.w["word"][:, 0] = 0.5 * _log_odds(t.bucket[t.word], text, labels, _WORDS)
-    pairs = np.unique(text * np.int64(len(t.bucket)) + t.word)
+    pairs = _distinct(text, t.word, len(t.bucket))
     in_text, of_word = pairs // len(t.bucket), pairs % len(t.bucket)
     seen = np.zeros((2, _GRAMS))
     for label in (0, 1):
         mine = labels[in_text] == label
         times = np.bincount(of_word[mine], minlength=len(t.bucket))  # texts of this label that have the word
-        for i in range(0, len(t.bucket), 1 << 16):
-            part = slice(i, i + (1 << 16))
+        for i in range(0, len(t.bucket), PART):
+            part = slice(i, i + PART)
             grams, at = t.grams(part)
             seen[label] += np.bincount(grams, np.repeat(times[part], np.diff(at)), _GRAMS)
     n0, n1 = seen
@@ -280,6 +300,7 @@ def _fitted(chars: int):
     """The weights of a network for sorted rows (doc_id, place, label, text); none if they aren't of both classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         texts, labels, left = [], [], {0: chars, 1: chars}
         for b in batches:
             for label, text in zip(b.column(2).to_pylist(), b.column(3), strict=True):
@@ -315,6 +336,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, rows
     docs = docs.drop("held_out", "score", "predicted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in slices(batches, "text", SLICE):
             out = np.zeros(b.num_rows)
             if net is not None:
